@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language, mixing, packing
+from . import exact_dedup, language, mixing, near_join, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,10 @@ def op4_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).drop("ident")
 
 
+def op6_bayes_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return near_join.near_join(table(spark, folder, "documents")).drop("ident")
+
+
 def op10_binary_packing(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -74,9 +78,28 @@ FROM p
 """
 
 
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), g AS (
+  SELECT doc_id, unnest(list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, greatest(len(w) - 3, 2))])) AS g FROM w WHERE len(w) > 0
+), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both FROM g a JOIN g b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE n_both::DOUBLE / (x.n + y.n - n_both) >= 0.8
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b
+), class AS (SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY a)
+SELECT d.doc_id, class_id, (SELECT count(*) FROM links WHERE a = d.doc_id) AS n_links, class_id = d.doc_id AS kept
+FROM documents d JOIN class USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_grace_dedup, op3_hyperdimensional_language, op4_source_mix, op10_binary_packing)}
+    return {f.__name__: f for f in (op2_grace_dedup, op3_hyperdimensional_language, op4_source_mix, op6_bayes_jaccard_join, op10_binary_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_grace_dedup": OP2_SQL, "op4_source_mix": OP4_SQL}
+    return {"op2_grace_dedup": OP2_SQL, "op4_source_mix": OP4_SQL, "op6_bayes_jaccard_join": OP6_SQL}
