@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language, mixing, near_join, packing
+from . import class_lm, exact_dedup, language, licences, mixing, near_join, packing, resampling, sharding, vector_forest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_permutation_shards(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id")
+    return sharding.place(docs, "doc_id", sharding.shard_names()).select("doc_id", "slot", "shard")
+
+
 def op2_grace_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, folder, "documents"))
 
@@ -28,10 +33,35 @@ def op4_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).drop("ident")
 
 
+def op5_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per document: the confirmed licence paragraphs, and the family of the most certain one."""
+    found = licences.scan(table(spark, folder, "documents"))
+    best = F.element_at(F.array_sort("matches", lambda a, b: F.when(a["probability"] > b["probability"], -1).when(a["probability"] < b["probability"], 1).otherwise(0)), 1)
+    top = F.when(F.size("matches") > 0, best)
+    return found.select(
+        "doc_id", F.size("matches").cast("long").alias("n_licences"), F.coalesce(top["family"], F.lit("unknown")).alias("licence"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["family"]))), ",").alias("families"),
+        F.array_join(F.transform("matches", lambda m: m["paragraph"].cast("string")), ",").alias("paragraphs"),
+        F.coalesce(top["probability"], F.lit(0.0)).alias("probability"), F.coalesce(top["resemblance"], F.lit(0.0)).alias("resemblance"),
+    )
+
+
 def op6_bayes_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_join.near_join(table(spark, folder, "documents")).drop("ident")
 
 
+def op7_projection_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_forest.near_vectors(table(spark, folder, "embeddings"))
+
+
+def op8_class_bigrams(spark: SparkSession, folder: str) -> DataFrame:
+    return class_lm.score(table(spark, folder, "documents"))
+
+
+def op9_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resampling.resample(table(spark, folder, "documents"), table(spark, folder, "labels")).drop("ident")
+
+
 def op10_binary_packing(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -97,9 +127,49 @@ FROM documents d JOIN class USING (doc_id)
 """
 
 
+OP1_SQL = """
+WITH RECURSIVE shards AS (
+  SELECT i, 'shard-' || lpad(i::VARCHAR, 3, '0') AS name FROM range(32) r(i)
+), orders AS (
+  SELECT i, name, list_transform(range(4099), lambda k:
+           ((('0x' || left(md5(name || ':offset'), 15))::BIGINT % 4099)
+            + k * (('0x' || left(md5(name || ':skip'), 15))::BIGINT % 4098 + 1)) % 4099) AS slots FROM shards
+), turns AS (
+  SELECT -1::BIGINT AS turn, NULL::BIGINT AS slot, NULL::VARCHAR AS name, list_transform(range(4099), lambda k: false) AS taken
+  UNION ALL
+  SELECT turn, slot, name, list_transform(taken, lambda t, k: t OR k = slot + 1) FROM (
+    SELECT t.turn + 1 AS turn, o.name, t.taken, list_filter(o.slots, lambda s: NOT t.taken[s + 1])[1] AS slot
+    FROM turns t JOIN orders o ON o.i = (t.turn + 1) % 32 WHERE t.turn + 1 < 4099
+  )
+), owners AS (SELECT slot, name FROM turns WHERE turn >= 0)
+SELECT doc_id, slot, name AS shard
+FROM (SELECT doc_id, ('0x' || left(md5(coalesce(doc_id::VARCHAR, '')), 15))::BIGINT % 4099 AS slot FROM documents) d JOIN owners USING (slot)
+"""
+
+OP7_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND (list_max(embedding) <> 0 OR list_min(embedding) <> 0)
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b
+), class AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT e.vec_id, (SELECT count(*) FROM links WHERE a = e.vec_id) AS n_links, component_id, component_id = e.vec_id AS kept
+FROM embeddings e JOIN class USING (vec_id)
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_grace_dedup, op3_hyperdimensional_language, op4_source_mix, op6_bayes_jaccard_join, op10_binary_packing)}
+    found = (
+        op1_permutation_shards, op2_grace_dedup, op3_hyperdimensional_language, op4_source_mix, op5_licence_scan, op6_bayes_jaccard_join,
+        op7_projection_forest, op8_class_bigrams, op9_importance_resampling, op10_binary_packing,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_grace_dedup": OP2_SQL, "op4_source_mix": OP4_SQL, "op6_bayes_jaccard_join": OP6_SQL}
+    """Not here, as SQL cannot express them: op3, op5, op8 and op9 (trained models), op10 (a tokenizer)."""
+    return {"op1_permutation_shards": OP1_SQL, "op2_grace_dedup": OP2_SQL, "op4_source_mix": OP4_SQL, "op6_bayes_jaccard_join": OP6_SQL, "op7_projection_forest": OP7_SQL}
