@@ -71,38 +71,42 @@ def _unpacked(raw: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(pa.decompress(raw[8:], size, codec="zstd", asbytes=True), kind) if size else np.zeros(0, kind)
 
 
-def _coded(batches):
+def _coded(most: int):
     """Chunks: doc_ids, held flags, words per document, word numbers, the lexicon and its training counts."""
-    base, turn = TaskContext.get().partitionId() << 32, 0
-    ids: list[int] = []
-    docs, held, lens, numbers = [], [], [], _Numbers()
-
-    def chunk():
-        nonlocal turn
-        every, size = np.asarray(ids, np.int32), np.asarray(lens, np.int32)
-        training = np.repeat(~np.asarray(held, bool), size)
-        counts = np.bincount(every[training], minlength=len(numbers))
-        row = [base + turn, docs.copy(), _packed(np.asarray(held), "u1"), _packed(size, "<i4"), _packed(every, "<i4"), b" ".join(numbers), _packed(counts, "<i4")]
-        turn += 1
-        for x in (ids, docs, held, lens, numbers):
-            x.clear()
-        return row
 
-    for batch in batches:
-        kind = batch.schema.field("doc_id").type
-        out = []
-        for doc, test, text in zip(batch.column("doc_id").to_pylist(), batch.column("held").to_pylist(), batch.column("text").to_pylist()):
-            before = len(ids)
-            for part in _slices((text or "").encode().lower()):
-                ids.extend(map(numbers.__getitem__, part.split()))
-            docs.append(doc)
-            held.append(test)
-            lens.append(len(ids) - before)
-            if len(ids) + len(docs) >= CHUNK:
-                out.append(chunk())
-        yield _chunk_batch(out, kind)
-    if docs:
-        yield _chunk_batch([chunk()], kind)
+    def run(batches):
+        base, turn = TaskContext.get().partitionId() << 32, 0
+        ids: list[int] = []
+        docs, held, lens, numbers = [], [], [], _Numbers()
+
+        def chunk():
+            nonlocal turn
+            every, size = np.asarray(ids, np.int32), np.asarray(lens, np.int32)
+            training = np.repeat(~np.asarray(held, bool), size)
+            counts = np.bincount(every[training], minlength=len(numbers))
+            row = [base + turn, docs.copy(), _packed(np.asarray(held), "u1"), _packed(size, "<i4"), _packed(every, "<i4"), b" ".join(numbers), _packed(counts, "<i4")]
+            turn += 1
+            for x in (ids, docs, held, lens, numbers):
+                x.clear()
+            return row
+
+        for batch in batches:
+            kind = batch.schema.field("doc_id").type
+            out = []
+            for doc, test, text in zip(batch.column("doc_id").to_pylist(), batch.column("held").to_pylist(), batch.column("text").to_pylist()):
+                before = len(ids)
+                for part in _slices((text or "").encode().lower()):
+                    ids.extend(map(numbers.__getitem__, part.split()))
+                docs.append(doc)
+                held.append(test)
+                lens.append(len(ids) - before)
+                if len(ids) + len(docs) >= most:
+                    out.append(chunk())
+            yield _chunk_batch(out, kind)
+        if docs:
+            yield _chunk_batch([chunk()], kind)
+
+    return run
 
 
 def _chunk_batch(rows: list[list], kind: pa.DataType) -> pa.RecordBatch:
@@ -152,7 +156,7 @@ def _around(states: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
 def _top_classes(words: list[bytes], top: dict[bytes, int], classes: np.ndarray, rare: int) -> tuple[np.ndarray, np.ndarray]:
     """For a lexicon: the place among the exchanged words (-1: none) and the class."""
     place = np.fromiter((top.get(w, -1) for w in words), np.int64, len(words))
-    return place, np.where(place >= 0, classes[place], rare)
+    return place, np.where(place >= 0, np.r_[classes, rare][place], rare)
 
 
 def _neighbours(top, classes: np.ndarray, states: int):
@@ -373,7 +377,7 @@ def _scored(model: ClassModel, ends: int, names: list[str]):
     return run
 
 
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", classes: int = CLASSES, exchanged: int = EXCHANGED, rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", classes: int = CLASSES, exchanged: int = EXCHANGED, rounds: int = ROUNDS, chunk: int = CHUNK) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity for every document.
 
     Learns from the documents whose crc32(doc_id) mod 7 is not 2.
@@ -382,7 +386,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", classes:
     rows = docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id), 7, 2).alias("held"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     with Scratch(spark) as scratch:
-        coded = rows.mapInArrow(_coded, f"chunk long, docs array<{kind}>, held binary, lens binary, ids binary, words binary, counts binary")
+        coded = rows.mapInArrow(_coded(chunk), f"chunk long, docs array<{kind}>, held binary, lens binary, ids binary, words binary, counts binary")
         coded = scratch.table(coded, "coded", **{"parquet.block.size": str(16 << 20), "compression": "zstd"})
         vocabulary = scratch.table(coded.select("words", "counts").mapInArrow(_counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "vocabulary")
         whole = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).first()

@@ -56,7 +56,7 @@ class GramCounts:
 
     def __init__(self, texts: list[str | None]) -> None:
         codes = [letter_codes(t) if t else np.zeros(0, np.uint32) for t in texts]
-        sizes = np.array([max(0, len(c) - GRAM + 1) for c in codes])
+        sizes = np.array([max(0, len(c) - GRAM + 1) for c in codes], np.int64)
         alphabet, flat = np.unique(np.concatenate(codes) if codes else np.zeros(0, np.uint32), return_inverse=True)
         n, at, grams = len(alphabet), 0, []
         for c in codes:
@@ -157,7 +157,7 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang", dimensions: i
     if len(rows_) > max_languages:
         raise ValueError(f"more than {max_languages} languages: raise max_languages, which bounds what is broadcast")
     rows_.sort(key=lambda r: r["lang"].encode())
-    return [r["lang"] for r in rows_], np.array([[x["v"] for x in r["v"]] for r in rows_], np.float64).reshape(len(rows_), -1)
+    return [r["lang"] for r in rows_], np.array([[x["v"] for x in r["v"]] for r in rows_], np.float64).reshape(len(rows_), dimensions)
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", out: tuple[str, str] = ("lang_pred", "score"), keep: list[str | Column] | None = None, dimensions: int = DIMENSIONS) -> DataFrame:
