@@ -102,12 +102,10 @@ def without_noise(nodes: DataFrame, role_col: str | None = "role") -> DataFrame:
     """Drops page numbers, and texts of at most 100 characters that a document repeats in its margins (or without a role)."""
     bare = strip(F.col("text"))
     short = (bare != "") & (F.length(bare) <= NOISE_CHARS)
-    repeats = F.count("*").over(Window.partitionBy("doc_id", "noise_key"))
     margin = F.lit(True) if role_col is None else (F.col(role_col).isNull() | F.col(role_col).isin("header_zone", "footer_zone"))
-    # long texts are no noise: each gets a key of its own, so that only short ones meet in a partition
     keyed = nodes.withColumn("noise_key", F.when(short, bare))
-    counted = keyed.where("noise_key IS NOT NULL").withColumn("repeats", repeats).where(~((F.col("repeats") >= 2) & margin)).drop("repeats")
-    return counted.unionByName(keyed.where("noise_key IS NULL")).where(~bare.rlike(PAGE_NUMBER)).drop("noise_key")
+    counted = keyed.withColumn("repeats", F.count("noise_key").over(Window.partitionBy("doc_id", "noise_key")))
+    return counted.where(~((F.col("repeats") >= 2) & margin)).where(~bare.rlike(PAGE_NUMBER)).drop("noise_key", "repeats")
 
 
 def area_share() -> Column:

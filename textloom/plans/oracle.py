@@ -132,9 +132,11 @@ def split_passes(source: str, name: str, most: int = MAX_TOKENS) -> str:
     return ", ".join(steps)
 
 
-PACKED = f"""list_reduce(list_transform(s, lambda x: [x]), lambda a, x: CASE WHEN len(a[-1]) + len(x[1]) <= {4 * MAX_TOKENS}
+def packed(most: int = MAX_TOKENS) -> str:
+    return f"""list_reduce(list_transform(s, lambda x: [x]), lambda a, x: CASE WHEN len(a[-1]) + len(x[1]) <= {4 * most}
     THEN list_concat(a[1:len(a) - 1], [a[-1] || x[1]]) ELSE list_concat(a, x) END)"""
 
+
 MARKED_LINES = f"{MARKED}, {lines('marked', MARKDOWN_CLASS)}"
 MARKED_NODES = f"{MARKED_LINES}, {RUNS}, {NODES}"
 MARKED_BLOCKS = f"{MARKED_NODES}, {NORMALISED}, {PATHS}, {BLOCKS}"
@@ -155,7 +157,7 @@ PARTS = f"""grouped AS (
   SELECT o.doc_id, o.group_id, o.node_pos, 0::BIGINT AS span, o.text, o.tokens, o.node_type, o.path, false AS solo FROM over o WHERE NOT lead AND NOT long_text
   UNION ALL
   SELECT o.doc_id, o.group_id, o.node_pos, span, t, {TOKENS.format('t')}, o.node_type, o.path, true FROM over o
-  JOIN (SELECT doc_id, node_pos, unnest(p) AS t, generate_subscripts(p, 1)::BIGINT AS span FROM (SELECT doc_id, node_pos, {PACKED} AS p FROM spans)) USING (doc_id, node_pos)
+  JOIN (SELECT doc_id, node_pos, unnest(p) AS t, generate_subscripts(p, 1)::BIGINT AS span FROM (SELECT doc_id, node_pos, {packed()} AS p FROM spans)) USING (doc_id, node_pos)
 ), ordered AS (SELECT *, row_number() OVER (PARTITION BY doc_id, group_id ORDER BY node_pos, span) AS k FROM items
 ), placed AS (
   SELECT doc_id, group_id, node_pos, span, k, tokens, solo, 0::BIGINT AS part, tokens::BIGINT AS held FROM ordered WHERE k = 1
@@ -171,9 +173,36 @@ PARTS = f"""grouped AS (
   UNION ALL
   SELECT doc_id, group_id * 100000 + part, node_pos * 100000 + span, i.node_type, i.text, i.tokens, i.path FROM ordered i JOIN placed USING (doc_id, group_id, node_pos, span)
 ), {facts('all_parts', 'chunk_facts', 'part_id')}"""
-CHUNKS = f"""{MARKED_FACTS}, {GROUPS}, {PARTS}, chunks AS (
+CHUNK_ROWS = f"""{GROUPS}, {PARTS}, chunks AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY block_id) AS chunk_index, {CHUNK_TYPE} AS chunk_type FROM chunk_facts WHERE trim(text) <> ''
 )"""
+CHUNKS = f"{MARKED_FACTS}, {CHUNK_ROWS}"
+TURNS = f"""nodes AS (
+  SELECT conv_id AS doc_id, turn * 2 AS node_pos, 'title' AS node_type, 1::BIGINT AS level, role || ' ' || turn AS text FROM conversations
+  UNION ALL SELECT conv_id, turn * 2 + 1, 'paragraph', 0, text FROM conversations
+), {NORMALISED}, {PATHS}, {BLOCKS}, {facts('blocked')}, {CHUNK_ROWS}"""
+
+#: Spans of at most 60 tokens that are drawn back over 32 characters. Only white space is lost in splitting, so the n-th
+#: character that is none stands where the n-th of the text does.
+OVERLAPPED = f"""d AS (SELECT doc_id, t, [t] AS s FROM (SELECT doc_id, {NORMAL.format('text')} AS t FROM documents)
+), {split_passes('d', 'p', 60)}, q AS (
+  SELECT doc_id, unnest(q) AS x, generate_subscripts(q, 1) AS k FROM (SELECT doc_id, {packed(60)} AS q FROM p)
+), places AS (
+  SELECT doc_id, t, list_filter(range(len(t)), lambda i: t[i + 1] <> ' ' AND t[i + 1] <> chr(10)) AS pos FROM d
+), counted AS (
+  SELECT doc_id, k, x, len(regexp_replace(x, '\\s', '', 'g')) AS n, (sum(len(regexp_replace(x, '\\s', '', 'g'))) OVER (PARTITION BY doc_id ORDER BY k))::BIGINT AS upto FROM q
+), located AS (
+  SELECT doc_id, k, x, first, past, greatest(first - 40, 0) AS c0, substr(t, greatest(first - 40, 0) + 1, past - greatest(first - 40, 0)) AS c
+  FROM (SELECT doc_id, k, x, pos[upto - n + 1] AS first, pos[upto] + 1 AS past, t FROM counted JOIN places USING (doc_id))
+), drawn AS (
+  SELECT doc_id, k, x, first, past FROM located WHERE k = 1
+  UNION ALL
+  SELECT doc_id, k, CASE WHEN s IS NULL THEN x ELSE trim(substr(c, s - c0 + 1), ' ' || chr(10)) END, coalesce(s, first), past FROM (
+    SELECT *, CASE WHEN back >= first THEN NULL ELSE list_filter(range(back, first + 1), lambda s: len(trim(substr(c, s - c0 + 1), ' ' || chr(10))) <= 240)[1] END AS s FROM (
+      SELECT l.*, greatest(l.first - len(trim(right(o.x, 32), ' ' || chr(10))), 0) AS back FROM drawn o JOIN located l ON l.doc_id = o.doc_id AND l.k = o.k + 1
+    )
+  )
+)"""
 
 PAGE_BLOCKS = """b AS (
   SELECT l_orderkey AS doc_id, l_suppkey % 2 + 1 AS page_no, l_partkey * 10 + l_linenumber AS block_no, (l_partkey * 37 % 500)::DOUBLE AS x0,
@@ -183,6 +212,22 @@ PAGE_BLOCKS = """b AS (
   FROM lineitem
 )"""
 OVERLAP = "EXISTS (SELECT 1 FROM b t WHERE t.is_table AND t.doc_id = b.doc_id AND t.page_no = b.page_no AND b.x0 < t.x1 AND b.x1 > t.x0 AND b.y0 < t.y1 AND b.y1 > t.y0)"
+FLOWING = f"""{PAGE_BLOCKS}, g AS (
+  SELECT doc_id, page_no, block_no, floor(x0 / 100) * 100.0::DOUBLE AS x0, y0, x1, y1, CASE WHEN y1 <= 800.0 * 0.12 THEN 'h' WHEN y0 >= 800.0 * (1 - 0.12) THEN 'f' ELSE 'body' END AS role,
+         CASE block_no % 3 WHEN 0 THEN 'it goes on and on,' WHEN 1 THEN 'half a word of a long para-' ELSE 'this one comes to an end.' END || ' and ' || doc_id AS text FROM b
+), c AS (SELECT *, list_sort(list((x0 + x1) / 2) OVER (PARTITION BY doc_id, page_no)) AS mids FROM g
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY CASE WHEN (x0 + x1) / 2 <= mids[len(mids) // 2 + 1] THEN 0 ELSE 1 END, round_even(y0 / 12, 0), x0, block_no) - 1 AS place FROM c
+), f AS (
+  SELECT doc_id, page_no, place, place AS head, role, x0, y0, x1, y1, text FROM r WHERE place = 0
+  UNION ALL
+  SELECT doc_id, page_no, place, CASE WHEN j THEN a_head ELSE place END, CASE WHEN j THEN a_role ELSE role END, CASE WHEN j THEN least(a_x0, x0) ELSE x0 END, CASE WHEN j THEN least(a_y0, y0) ELSE y0 END,
+         CASE WHEN j THEN greatest(a_x1, x1) ELSE x1 END, CASE WHEN j THEN greatest(a_y1, y1) ELSE y1 END, CASE WHEN j THEN a_text || ' ' || text ELSE text END
+  FROM (SELECT b.*, a.head AS a_head, a.role AS a_role, a.x0 AS a_x0, a.y0 AS a_y0, a.x1 AS a_x1, a.y1 AS a_y1, a.text AS a_text,
+               a.role = 'body' AND b.role = 'body' AND b.y0 - a.y1 >= -2 AND b.y0 - a.y1 <= greatest(18.0, least(greatest(a.y1 - a.y0, 1.0), greatest(b.y1 - b.y0, 1.0)) * 1.6)
+               AND (abs(a.x0 - b.x0) <= 18 OR abs(a.x1 - b.x1) <= 48) AS j
+        FROM f a JOIN r b ON b.doc_id = a.doc_id AND b.page_no = a.page_no AND b.place = a.place + 1)
+)"""
 SHARE = "greatest((x1 - x0) * (y1 - y0), 0.0) / 480000.0"
 ROLE = "CASE WHEN y1 <= 800.0 * 0.12 THEN 'header_zone' WHEN y0 >= 800.0 * (1 - 0.12) THEN 'footer_zone' ELSE 'body' END"
 DECISIONS = """pairs AS (
@@ -221,7 +266,7 @@ FROM (SELECT doc_id, run, any_value(class) AS node_type, CASE WHEN any_value(cla
     "serialize_blocks": f"""WITH {MARKED_FACTS}, {SERIAL} SELECT doc_id, chunk_index, sha256(doc_id || ':' || chunk_index) AS chunk_id, chunk_type, path AS section_path,
   {PREVIEW.format('text')} AS preview_text, md5(text) AS text_hash FROM serial""",
     "separator_split": f"WITH d AS (SELECT doc_id, [{NORMAL.format('text')}] AS s FROM documents), {split_passes('d', 'p')} SELECT doc_id, len(s) AS n_spans, md5(array_to_string(s, {US})) AS spans_hash FROM p",
-    "span_pack": f"WITH d AS (SELECT doc_id, [{NORMAL.format('text')}] AS s FROM documents), {split_passes('d', 'p')}, q AS (SELECT doc_id, {PACKED} AS s FROM p) SELECT doc_id, len(s) AS n_spans, md5(array_to_string(s, {US})) AS spans_hash FROM q",
+    "span_pack": f"WITH d AS (SELECT doc_id, [{NORMAL.format('text')}] AS s FROM documents), {split_passes('d', 'p')}, q AS (SELECT doc_id, {packed()} AS s FROM p) SELECT doc_id, len(s) AS n_spans, md5(array_to_string(s, {US})) AS spans_hash FROM q",
     "hard_split": f"""WITH RECURSIVE w AS (
   SELECT doc_id, len(text) AS rest, least(len(text), 2700) AS w, 0 AS n, NULL::BIGINT AS emitted FROM documents
   UNION ALL
@@ -241,6 +286,9 @@ FROM (SELECT doc_id, run, any_value(class) AS node_type, CASE WHEN any_value(cla
   {PREVIEW.format('text')} AS preview_text, md5(text) AS text_hash FROM chunks""",
     "document_summary": f"""WITH RECURSIVE {CHUNKS} SELECT d.doc_id, CASE WHEN n IS NULL THEN 'failed' ELSE 'completed' END AS status, coalesce(n, 0) AS total_chunks
 FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM chunks GROUP BY doc_id) c USING (doc_id)""",
+    "chunk_parsed_nodes": f"WITH RECURSIVE {TURNS} SELECT doc_id, count(*) AS n_chunks, sum(tokens)::BIGINT AS tokens, sum(len(trim(text, ' ' || chr(10))))::BIGINT AS n_chars FROM chunks GROUP BY doc_id",
+    "overlap_chunks": f"""WITH RECURSIVE {OVERLAPPED} SELECT doc_id, k - 1 AS span, first::BIGINT AS start, past::BIGINT AS "end", md5(x) AS text_hash FROM drawn""",
+    "layout_merge": f"WITH RECURSIVE {FLOWING} SELECT doc_id, page_no, head AS place, arg_max(x0, place) AS x0, arg_max(y0, place) AS y0, arg_max(x1, place) AS x1, arg_max(y1, place) AS y1, arg_max(text, place) AS text FROM f GROUP BY doc_id, page_no, head",
     "paged_chunks": f"WITH {MARKED_FACTS}, {SERIAL} SELECT doc_id::VARCHAR AS document_id, chunk_index, chunk_type, {PREVIEW.format('text')} AS preview_text FROM serial WHERE chunk_index BETWEEN 6 AND 10",
     "page_lists": "SELECT l_orderkey, coalesce(array_to_string(list_sort(list_distinct(list(l_linenumber) FILTER (WHERE l_linenumber % 3 > 0))), ','), '') AS pages FROM lineitem GROUP BY l_orderkey",
     "json_columns": f"WITH {MARKED_NODES}, {NORMALISED}, {PATHS} SELECT doc_id, node_pos, array_to_string(path, ' > ') AS section_path, CASE WHEN node_pos % 2 = 0 THEN 1 ELSE 0 END AS n_pages FROM pathed",
