@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import Scratch, checkpoint, identity, partitions, rows_named
+from .runtime import Scratch, checkpoint, identity, partitions, parts, rows_named, tidied
 
 MEMORY_BYTES = 48 << 20
 SPLITS = 16
@@ -131,7 +131,7 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mem
 
     def lead(batches):
         base, seen, table, leaders = TaskContext.get().partitionId() << 40, 0, ContentTable(), []
-        for batch in batches:
+        for batch in parts(batches):
             uids, own, shas = [], [], []
             for value in batch.column("text").to_pylist():
                 content = (value or "").encode().lower()
@@ -149,7 +149,7 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mem
 
     def classes(batches):
         def leaders() -> Iterator[Leader]:
-            for batch in batches:
+            for batch in parts(batches):
                 for number, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     yield number, (value or "").encode().lower()
 
@@ -164,12 +164,12 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mem
         yield _pairs(out)
 
     with Scratch(spark) as scratch:
-        led = scratch.table(rows.mapInArrow(lead, schema), "rows")
+        led = scratch.table(rows.mapInArrow(tidied(lead), schema), "rows")
         uid, leader, sha = (F.col(c) for c in OWN)
         best = F.max(F.struct(F.col("doc_id").isNotNull().alias("has"), F.col("doc_id").alias("id"), uid.alias("uid")))
         local = led.groupBy(leader.alias("leader")).agg(best.alias("best"), F.count("*").alias("n"))
         firsts = led.where(uid == leader).select(leader.alias("leader"), F.col("text").alias("content"), sha.alias("sha"))
-        merged = firsts.repartition(partitions(spark), "sha").select("leader", "content").mapInArrow(classes, "leader long, class long")
+        merged = firsts.repartition(partitions(spark), "sha").select("leader", "content").mapInArrow(tidied(classes), "leader long, class long")
         local = local.join(scratch.table(merged, "classes"), "leader", "left")
         lone = local.where(F.col("class").isNull()).select("leader", "best", "n")
         shared = local.where(F.col("class").isNotNull())

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .runtime import tidied
+
 DIMENSIONS = 1024
 GRAM = 3
 MAX_LANGUAGES = 4096
@@ -152,7 +154,7 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang", dimensions: i
         for name, vector in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([name] * dimensions), pa.array(np.arange(dimensions, dtype=np.int32)), pa.array(np.rint(vector).astype(np.int64))], names=["lang", "d", "v"])
 
-    sums = pairs.mapInArrow(bundles, "lang string, d int, v long").groupBy("lang", "d").agg(F.sum("v").alias("v"))
+    sums = pairs.mapInArrow(tidied(bundles), "lang string, d int, v long").groupBy("lang", "d").agg(F.sum("v").alias("v"))
     rows_ = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("d", "v"))).alias("v")).limit(max_languages + 1).collect()
     if len(rows_) > max_languages:
         raise ValueError(f"more than {max_languages} languages: raise max_languages, which bounds what is broadcast")
@@ -185,7 +187,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
                 kept = [part.column(f.name) for f in fields]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(langs.tolist(), pa.string()), pa.array(score)], names=schema.names)
 
-    return rows.mapInArrow(guess, schema)
+    return rows.mapInArrow(tidied(guess), schema)
 
 
 def held_out(doc_id: Column, parts: int, part: int) -> Column:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .runtime import tidied
 from .words import gram_hashes, mix64, word_hashes
 
 #: Short notices by which licences are declared.
@@ -250,4 +251,4 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     model = train(unknown_pieces(docs, text, F.concat_ws("\x01", F.col(doc_id).cast("string"), F.col(text))))
     kind = rows.schema["doc_id"].dataType
     match = T.ArrayType(T.StructType([T.StructField("paragraph", T.LongType()), T.StructField("family", T.StringType()), T.StructField("probability", T.DoubleType()), T.StructField("resemblance", T.DoubleType())]))
-    return rows.mapInArrow(_scan(model), T.StructType([T.StructField("doc_id", kind), T.StructField("matches", match)]))
+    return rows.mapInArrow(tidied(_scan(model)), T.StructType([T.StructField("doc_id", kind), T.StructField("matches", match)]))

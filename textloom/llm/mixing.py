@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 import pyarrow as pa
 
-from .runtime import Scratch, checkpoint, free_name, identity, running_sums
+from .runtime import Scratch, checkpoint, free_name, identity, running_sums, tidied
 from .words import word_counts
 
 WEIGHTS = (1.0, 2.0, 3.0)
@@ -32,7 +32,7 @@ def sized(rows: DataFrame, text: str) -> DataFrame:
             kept = [batch.column(n) for n in batch.schema.names if n != text]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(word_counts(batch.column(text)))], names=schema.names)
 
-    return rows.mapInArrow(count, schema)
+    return rows.mapInArrow(tidied(count), schema)
 
 
 def source_targets(scratch: Scratch, sizes: DataFrame, weights: tuple[float, ...], most: int) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import Scratch, checkpoint, identity, partitions, rows_named
+from .runtime import Scratch, checkpoint, identity, partitions, rows_named, tidied
 from .words import SHINGLE, gram_hashes, mix64, word_hashes
 
 THRESHOLD = 0.8
@@ -272,16 +272,16 @@ def near_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thres
     rows = docs.select(F.col(doc_id).alias("doc_id"), ident.alias("ident"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     with Scratch(docs.sparkSession) as scratch:
-        signed = scratch.table(rows.mapInArrow(_signed, f"doc_id {kind}, ident string, node binary, sig binary"), "signed")
+        signed = scratch.table(rows.mapInArrow(tidied(_signed), f"doc_id {kind}, ident string, node binary, sig binary"), "signed")
         first = F.min(_order())
         nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("mult"), first.alias("first"), F.first("sig").alias("sig"))
         nodes = scratch.table(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
         # 2: buckets, the same members once
-        bands = nodes.select("nid", "sig").mapInArrow(_banded, "nid long, bucket long")
+        bands = nodes.select("nid", "sig").mapInArrow(tidied(_banded), "nid long, bucket long")
         buckets = bands.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("nid")).alias("x"), F.bit_xor(F.xxhash64("nid", F.lit(1))).alias("y")).where("n > 1")
         buckets = buckets.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
         met = tiled(bands.join(buckets, "bucket"), "bucket", "nid", "n", bucket_tile).join(nodes.select("nid", "sig"), "nid")
-        near = dealt(met.select("bucket", "tile", "nid", "blocks", "block", "sig"), "bucket").mapInArrow(_pruned_groups(least_matches(threshold, tolerance)), "a long, b long")
+        near = dealt(met.select("bucket", "tile", "nid", "blocks", "block", "sig"), "bucket").mapInArrow(tidied(_pruned_groups(least_matches(threshold, tolerance))), "a long, b long")
         groups = components(scratch, near, "near")
         # 3: exact similarity within each group
         members = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
@@ -289,7 +289,7 @@ def near_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thres
         members = members.join(sizes, "root").withColumnRenamed("node", "nid").join(nodes.select("nid", "mult", F.col("first.ident").alias("ident")), "nid")
         whole = rows.select("ident", "text").join(members, "ident").dropDuplicates(["ident"])
         whole = tiled(whole, "root", "nid", "n", group_tile).select("root", "tile", "nid", "mult", "blocks", "block", "text")
-        found = scratch.table(dealt(whole, "root").mapInArrow(_verified(threshold), "nid long, links long, other long"), "links")
+        found = scratch.table(dealt(whole, "root").mapInArrow(tidied(_verified(threshold)), "nid long, links long, other long"), "links")
         classes = components(scratch, found.select(F.col("nid").alias("a"), F.col("other").alias("b")), "classes")
         # back to documents
         links = found.groupBy("nid").agg(F.sum("links").alias("links"))

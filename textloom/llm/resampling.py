@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import Scratch, checkpoint, identity, running_sums
+from .runtime import Scratch, checkpoint, identity, running_sums, tidied
 from .words import mix64, word_hashes
 
 BUCKETS, WINDOW, TARGET_DOCS = 10_000, 128, 50_000
@@ -55,7 +55,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, target_docs:
     marked = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
     marked = marked.join(F.broadcast(good), F.col("id") == F.col("good_id"), "left").select("text", F.col("good_id").isNotNull().alias("good"))
     raw, target = np.ones(BUCKETS), np.ones(BUCKETS)
-    for r in marked.mapInArrow(_totals, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():
+    for r in marked.mapInArrow(tidied(_totals), "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():
         raw[r["bucket"]] += r["raw"]
         target[r["bucket"]] += r["target"]
     return np.log(target / target.sum()) - np.log(raw / raw.sum()) if target.sum() > BUCKETS else np.zeros(BUCKETS)
@@ -80,7 +80,7 @@ def resample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     rows = docs.select(F.col(doc_id).alias("doc_id"), identity(*[F.col(f"`{c}`") for c in docs.columns]).alias("ident"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     with Scratch(docs.sparkSession) as scratch:
-        weighted = rows.mapInArrow(_weighted(ratio), f"doc_id {kind}, ident string, n_grams long, log_weight double")
+        weighted = rows.mapInArrow(tidied(_weighted(ratio)), f"doc_id {kind}, ident string, n_grams long, log_weight double")
         uniform = (F.pmod(F.xxhash64("ident", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
         keyed = weighted.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform)))
         keyed = keyed.withColumn("salt", F.monotonically_increasing_id()).withColumn("one", F.lit(1).cast("long")).withColumn("all", F.lit(""))
