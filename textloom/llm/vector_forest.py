@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .near_join import dealt, joined_labels, runs, tile_sides, tiled, unite
-from .runtime import Scratch, checkpoint
+from .runtime import Scratch, checkpoint, tidied
 
 THRESHOLD = 0.93
 TREES, LEAF, SPILL, TILE = 8, 256, 0.02, 1024
@@ -36,7 +36,7 @@ LEAST = 32
 
 
 class Forest:
-    """Splits of all trees and labels in flat arrays; children below 0 are leaves (-1 - leaf number)."""
+    """Splits of all trees and labels in flat arrays; children below 0 are leaves (-1 - leaf number), fewer than 2^31."""
 
     def __init__(self) -> None:
         self.directions: list[np.ndarray] = []
@@ -55,9 +55,9 @@ class Forest:
                 way = random.standard_normal(sample.shape[1])
                 way /= np.linalg.norm(way)
                 place = sample[own] @ way
-                cut = float(np.median(place))
+                cut = _cut(place, spill)
                 low, high = own[place <= cut + spill], own[place >= cut - spill]
-                if max(len(low), len(high)) <= 0.9 * len(own):
+                if max(len(low), len(high)) <= 0.75 * len(own):
                     at = len(self.cuts)
                     self.directions.append(way)
                     self.cuts.append(cut)
@@ -128,20 +128,29 @@ def _routed(forest: Forest, spill: float):
             order = np.lexsort((leaves_, rows_))
             rows_, leaves_ = rows_[order], leaves_[order]
             edges = np.searchsorted(rows_, np.arange(len(parts) + 1))
-            whole = [leaves_[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]
+            whole = [leaves_[a:b].astype(np.int32).tobytes() if leaves_[a] >= 0 else b"" for a, b in zip(edges[:-1], edges[1:])]
             kept = batch.select(["nid", "mult", "part", "unit"]).take(pa.array(rows_))
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(leaves_), pa.array([whole[i] for i in rows_], pa.binary())], names=[*kept.schema.names, "leaf", "leaves"])
 
     return run
 
 
-def _first_shared(leaves: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest leaf that both nodes of each pair are in. leaves: padded with distinct values that match nothing."""
-    out = np.empty(len(i), np.int64)
-    for at in range(0, len(i), 8192):
-        a, b = leaves[i[at : at + 8192]], leaves[j[at : at + 8192]]
-        same = (a[:, :, None] == b[:, None, :]).any(2)
-        out[at : at + 8192] = np.where(same, a, np.iinfo(np.int64).max).min(1)
+def _cut(place: np.ndarray, spill: float) -> float:
+    """Of seven places about the median, the one with the fewest nodes within the spill: dense groups are cut around."""
+    ordered = np.sort(place)
+    cuts = np.quantile(ordered, np.linspace(0.35, 0.65, 7))
+    within = np.searchsorted(ordered, cuts + spill, "right") - np.searchsorted(ordered, cuts - spill)
+    return float(cuts[within.argmin()])
+
+
+def _memberships(lists: list[np.ndarray], below: int) -> np.ndarray:
+    """Nodes x the leaves numbered below ``below`` that any of them is in, as 0 and 1."""
+    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    flat = np.concatenate(lists)
+    owner, flat = owner[flat < below], flat[flat < below]
+    names, column = np.unique(flat, return_inverse=True)
+    out = np.zeros((len(lists), len(names)), np.float32)
+    out[owner, column] = 1
     return out
 
 
@@ -169,12 +178,11 @@ def _compared(threshold: float):
                     edges = np.r_[0, np.flatnonzero(i[1:] != i[:-1]) + 1, len(i)]
                     for a, b in zip(edges[:-1], edges[1:]):
                         unite(labels, int(i[a]), j[a:b])
-                    own_lists = [np.frombuffer(lists[k], np.int64) for k in own]
-                    width = max(map(len, own_lists))
-                    padded = -(np.arange(len(own) * width, dtype=np.int64).reshape(len(own), width) + (1 << 62) + 1)
-                    for k, x in enumerate(own_lists):
-                        padded[k, : len(x)] = x
-                    first = _first_shared(padded, i, j) == leaf[start]
+                    # counted here if they share no leaf before this one
+                    earlier = _memberships([np.frombuffer(lists[k], np.int32) for k in own], int(leaf[start]))
+                    shared = earlier[left] @ earlier[side].T
+                    here = np.searchsorted(left, i), np.searchsorted(side, j)
+                    first = shared[here] == 0
                     i, j = i[first], j[first]
                     weight = mult[own]
                     links = (np.bincount(i, weight[j], len(own)) + np.bincount(j, weight[i], len(own))).astype(np.int64)
@@ -210,15 +218,15 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embe
     rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("vector"))
     kind = rows.schema["vec_id"].dataType.simpleString()
     with Scratch(vectors.sparkSession) as scratch:
-        noded = scratch.table(rows.mapInArrow(_noded, f"vec_id {kind}, node binary, part string, unit binary"), "noded")
+        noded = scratch.table(rows.mapInArrow(tidied(_noded), f"vec_id {kind}, node binary, part string, unit binary"), "noded")
         nodes = noded.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("mult"), F.min("vec_id").alias("first"), F.first("part").alias("part"), F.first("unit").alias("unit"))
         nodes = scratch.table(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
         forest = fit(nodes, trees, leaf, spill)
-        routed = nodes.select("nid", "mult", "part", "unit").mapInArrow(_routed(forest, spill), "nid long, mult long, part string, unit binary, leaf long, leaves binary")
+        routed = nodes.select("nid", "mult", "part", "unit").mapInArrow(tidied(_routed(forest, spill)), "nid long, mult long, part string, unit binary, leaf long, leaves binary")
         routed = scratch.table(routed, "routed")
         met = routed.join(routed.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1"), "leaf")
         met = tiled(met, "leaf", "nid", "n", tile).select("leaf", "tile", "nid", "mult", "part", "unit", "leaves", "blocks", "block")
-        found = scratch.table(dealt(met, "leaf").mapInArrow(_compared(threshold), "nid long, links long, other long"), "links")
+        found = scratch.table(dealt(met, "leaf").mapInArrow(tidied(_compared(threshold)), "nid long, links long, other long"), "links")
         classes = components(scratch, found.select(F.col("nid").alias("a"), F.col("other").alias("b")), "classes")
         links = found.groupBy("nid").agg(F.sum("links").alias("links"))
         own = nodes.select("node", "nid", "mult", "first").join(links, "nid", "left").join(classes.withColumnRenamed("node", "nid"), "nid", "left")
