@@ -31,11 +31,13 @@ from pyspark.sql import functions as F
 
 from .language import held_out
 from .near_join import runs
-from .runtime import Scratch, checkpoint, partitions
+from .runtime import Scratch, checkpoint, partitions, parts, tidied
 
 CLASSES, EXCHANGED, ROUNDS = 32, 8192, 4
 #: Tokens after which a chunk is closed, and bytes of one text read at a time.
-CHUNK, SLICE = 1 << 20, 4 << 20
+CHUNK, SLICE = 1 << 22, 4 << 20
+#: Bits of a chunk's number that count the chunks of a task, and of a word's place that number it within its chunk.
+TURNS, NUMBERS = 12, 28
 SMOOTH_CLASS, SMOOTH_UNSEEN = 5.0, 20.0
 
 
@@ -75,7 +77,7 @@ def _coded(most: int):
     """Chunks: doc_ids, held flags, words per document, word numbers, the lexicon and its training counts."""
 
     def run(batches):
-        base, turn = TaskContext.get().partitionId() << 32, 0
+        base, turn = TaskContext.get().partitionId() << TURNS, 0
         ids: list[int] = []
         docs, held, lens, numbers = [], [], [], _Numbers()
 
@@ -90,19 +92,20 @@ def _coded(most: int):
                 x.clear()
             return row
 
-        for batch in batches:
+        for batch in parts(batches):
             kind = batch.schema.field("doc_id").type
             out = []
             for doc, test, text in zip(batch.column("doc_id").to_pylist(), batch.column("held").to_pylist(), batch.column("text").to_pylist()):
                 before = len(ids)
-                for part in _slices((text or "").encode().lower()):
-                    ids.extend(map(numbers.__getitem__, part.split()))
+                for piece in _slices((text or "").encode().lower()):
+                    ids.extend(map(numbers.__getitem__, piece.split()))
                 docs.append(doc)
                 held.append(test)
                 lens.append(len(ids) - before)
                 if len(ids) + len(docs) >= most:
                     out.append(chunk())
-            yield _chunk_batch(out, kind)
+            if out:
+                yield _chunk_batch(out, kind)
         if docs:
             yield _chunk_batch([chunk()], kind)
 
@@ -139,18 +142,19 @@ def _stream(row: dict, of_word: np.ndarray, end: int, training_only: bool) -> tu
     doc = np.flatnonzero(take)
     lens = lens[take]
     ends = np.cumsum(lens + 1) - 1
-    numbers = np.full(int(lens.sum()) + len(lens), -1, np.int64)
+    numbers = np.full(int(lens.sum()) + len(lens), -1, np.int32)
     place = np.ones(len(numbers), bool)
     place[ends] = False
     numbers[place] = ids
-    states = np.full(len(numbers), end, np.int64)
+    states = np.full(len(numbers), end, np.int16)
     states[place] = of_word[ids] if len(ids) else 0
-    return numbers, states, np.repeat(doc, lens + 1)
+    return numbers, states, np.repeat(doc.astype(np.int32), lens + 1)
 
 
 def _around(states: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The states before and after each token; every document begins after an end."""
-    return np.r_[end, states[:-1]], np.r_[states[1:], end]
+    edge = np.array([end], states.dtype)
+    return np.concatenate([edge, states[:-1]]), np.concatenate([states[1:], edge])
 
 
 def _top_classes(words: list[bytes], top: dict[bytes, int], classes: np.ndarray, rare: int) -> tuple[np.ndarray, np.ndarray]:
@@ -202,7 +206,7 @@ def exchange(coded: DataFrame, top, words: int, classes: int, rounds: int) -> tu
     cells = 2 * words * states
 
     def counts() -> tuple[np.ndarray, np.ndarray]:
-        sums = coded.select("held", "lens", "ids", "words").mapInArrow(_neighbours(top, now, states), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        sums = coded.select("held", "lens", "ids", "words").mapInArrow(tidied(_neighbours(top, now, states)), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
         table = np.zeros(cells, np.float64)
         table[sums["cell"].to_numpy()] = sums["n"].to_numpy()
         return table[: cells // 2].reshape(words, states), table[cells // 2 :].reshape(words, states)
@@ -219,7 +223,8 @@ def exchange(coded: DataFrame, top, words: int, classes: int, rounds: int) -> tu
 
 
 def _occurrences(top, classes: np.ndarray, states: int):
-    """Per chunk and word: training count, class if exchanged, and else the classes around each training occurrence."""
+    """Per chunk and word: its place (chunk, number), its training count and (from 1) its class if it was exchanged, and else
+    the classes around each training occurrence."""
     rare, end = states - 2, states - 1
 
     def run(batches):
@@ -238,10 +243,11 @@ def _occurrences(top, classes: np.ndarray, states: int):
             edges = 2 * np.searchsorted(numbers[at], np.arange(len(words) + 1))
             spans = [around[a:b] for a, b in zip(edges[:-1], edges[1:])]
             counts = _unpacked(row["counts"], "<i4").astype(np.int64)
+            at = (row["chunk"] << NUMBERS) + np.arange(len(words), dtype=np.int64)
+            known = (counts << 8) + np.where(place >= 0, of_word + 1, 0)
             for a in range(0, len(words), 20_000):
                 cut = slice(a, a + 20_000)
-                n = len(words[cut])
-                yield pa.RecordBatch.from_arrays([pa.array(words[cut], pa.binary()), pa.array(np.full(n, row["chunk"])), pa.array(np.arange(a, a + n, dtype=np.int32)), pa.array(counts[cut]), pa.array(np.where(place[cut] >= 0, of_word[cut], -1).astype(np.int32)), pa.array(spans[cut], pa.binary())], names=["word", "chunk", "number", "n", "class", "around"])
+                yield pa.RecordBatch.from_arrays([pa.array(words[cut], pa.binary()), pa.array(at[cut]), pa.array(known[cut]), pa.array(spans[cut], pa.binary())], names=["word", "at", "known", "around"])
 
     return run
 
@@ -264,7 +270,7 @@ def _word_runs(batches) -> Iterator[pa.RecordBatch]:
 
 
 def _placed(log_before: np.ndarray, log_after: np.ndarray):
-    """Gives every word its total count and its class; for each (chunk, number) that has it."""
+    """Gives every word its total count and its class, for each place that has it."""
     states = len(log_before)
 
     def run(batches):
@@ -273,7 +279,8 @@ def _placed(log_before: np.ndarray, log_after: np.ndarray):
             fresh = np.r_[True, pc.not_equal(word.slice(1), word.slice(0, len(word) - 1)).to_numpy(zero_copy_only=False)]
             start = np.flatnonzero(fresh)
             run_of = np.cumsum(fresh) - 1
-            n = np.add.reduceat(batch.column("n").to_numpy(), start)
+            known = batch.column("known").to_numpy()
+            n = np.add.reduceat(known >> 8, start)
             around = batch.column("around").to_pylist()
             owner = np.repeat(run_of, [len(x) // 2 for x in around])
             pairs = np.frombuffer(b"".join(around), np.uint8).reshape(-1, 2).astype(np.int64)
@@ -285,18 +292,18 @@ def _placed(log_before: np.ndarray, log_after: np.ndarray):
                 by = np.bincount(cell + pairs[some, 0], minlength=size * states).reshape(size, states)
                 to = np.bincount(cell + pairs[some, 1], minlength=size * states).reshape(size, states)
                 best[a : a + size] = (by @ log_before + to @ log_after).argmax(1)
-            given = np.maximum.reduceat(batch.column("class").to_numpy(), start)
+            given = np.maximum.reduceat(known & 255, start) - 1
             best = np.where(given >= 0, given, best)
-            yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("number"), pa.array(n[run_of]), pa.array(best[run_of].astype(np.int32))], names=["chunk", "number", "n", "class"])
+            yield pa.RecordBatch.from_arrays([batch.column("at"), pa.array(((n << 8) + best)[run_of])], names=["at", "known"])
 
     return run
 
 
 def _lexicons(batches):
     for rows, at in runs(batches, ["chunk"]):
-        chunk, n, of = (rows.column(c).to_numpy() for c in ("chunk", "n", "class"))
-        parts = [slice(a, b) for a, b in zip(at[:-1], at[1:])]
-        for p in parts:
+        chunk, known = (rows.column(c).to_numpy() for c in ("chunk", "known"))
+        n, of = known >> 8, known & 255
+        for p in map(slice, at[:-1], at[1:]):
             yield pa.RecordBatch.from_arrays([pa.array(chunk[p][:1]), pa.array([_packed(n[p], "<i8")], pa.binary()), pa.array([_packed(of[p], "u1")], pa.binary())], names=["chunk", "n", "class"])
 
 
@@ -320,6 +327,7 @@ def _transitions(classes: int):
         for row in _rows(batches):
             states, _, count = _known_stream(row, classes, True)
             once = count == 1
+            states = states.astype(np.int64)
             before = np.r_[classes, states[:-1]]
             after_once = np.flatnonzero(np.r_[False, once[:-1]])
             total += np.bincount(before * width + states, minlength=len(total))
@@ -382,13 +390,15 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", classes:
 
     Learns from the documents whose crc32(doc_id) mod 7 is not 2.
     """
+    if not 1 <= classes <= 200:
+        raise ValueError("classes must be from 1 to 200")
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id), 7, 2).alias("held"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     with Scratch(spark) as scratch:
-        coded = rows.mapInArrow(_coded(chunk), f"chunk long, docs array<{kind}>, held binary, lens binary, ids binary, words binary, counts binary")
+        coded = rows.mapInArrow(tidied(_coded(chunk)), f"chunk long, docs array<{kind}>, held binary, lens binary, ids binary, words binary, counts binary")
         coded = scratch.table(coded, "coded", **{"parquet.block.size": str(16 << 20), "compression": "zstd"})
-        vocabulary = scratch.table(coded.select("words", "counts").mapInArrow(_counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "vocabulary")
+        vocabulary = scratch.table(coded.select("words", "counts").mapInArrow(tidied(_counted), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "vocabulary")
         whole = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).first()
         ends = rows.where("NOT held").count()
         # the exchanged words: at most `exchanged` rows
@@ -396,15 +406,16 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", classes:
         top = spark.sparkContext.broadcast({w: i for i, w in enumerate(best)})
         states = classes + 2
         now, log_before, log_after = exchange(coded, top, len(best), classes, rounds)
-        met = coded.select("chunk", "held", "lens", "ids", "words", "counts").mapInArrow(_occurrences(top, now, states), "word binary, chunk long, number int, n long, class int, around binary")
+        met = coded.select("chunk", "held", "lens", "ids", "words", "counts").mapInArrow(tidied(_occurrences(top, now, states)), "word binary, at long, known long, around binary")
         met = met.repartition(partitions(spark), "word").sortWithinPartitions("word")
-        met = met.mapInArrow(_placed(log_before, log_after), "chunk long, number int, n long, class int")
-        lexicons = met.repartition(partitions(spark), "chunk").sortWithinPartitions("chunk", "number").mapInArrow(_lexicons, "chunk long, n binary, class binary")
+        met = met.mapInArrow(tidied(_placed(log_before, log_after)), "at long, known long")
+        chunk_of = F.shiftright("at", NUMBERS)
+        lexicons = met.repartition(partitions(spark), chunk_of).sortWithinPartitions("at").select(chunk_of.alias("chunk"), "known").mapInArrow(tidied(_lexicons), "chunk long, n binary, class binary")
         known = scratch.table(coded.drop("words", "counts").join(lexicons, "chunk", "left"), "known", **{"parquet.block.size": str(16 << 20), "compression": "zstd"})
         table = np.zeros((classes + 2) ** 2, np.int64)
-        for r in known.mapInArrow(_transitions(classes), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        for r in known.mapInArrow(tidied(_transitions(classes)), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
             table[r["cell"]] = r["n"]
         model = ClassModel(table.reshape(classes + 2, classes + 2), classes, whole["n"] + ends, whole["v"] + (ends > 0), whole["once"], whole["twice"])
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]
-        out = known.mapInArrow(_scored(model, ends, names), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+        out = known.mapInArrow(tidied(_scored(model, ends, names)), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
         return checkpoint(out)
