@@ -6,50 +6,101 @@ piece of length 1); repeated rows are packed each on their own; a null doc_id st
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import Scratch, checkpoint, identity, running_sums
+from .runtime import Scratch, checkpoint, identity, running_sums, tidied
 
 PIECES = "doc_id {kind}, ident string, start long, length long, ids_crc32 long, doc_tokens long"
-#: Entries of a Python worker's memo of encoded words.
+#: Texts encoded at a time.
+ROWS = 512
+#: Entries of each of a Python worker's two memos, some 200 bytes each; what comes after is encoded anew in every batch.
 MEMO = 400_000
+#: Fixed value: how byte-level BPE cuts a text into pre-tokens.
+PRETOKEN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Marks that are neither letters, numbers nor white space, without the apostrophe.
+MARKS = ".,!?;:*&$%#|()[]{}\"/-_=+"
 _CODERS: dict[str, WordCoder] = {}
 
 
 class WordCoder:
-    """Ids of whole texts from a byte-level BPE file; each distinct pre-token is encoded once.
+    """Ids of whole texts from a BPE file; each distinct pre-token is encoded once.
 
-    A blank before a non-blank always begins a pre-token, so texts can be cut there and the parts looked up. Texts with
-    two blanks in a row, where that does not hold, are encoded as they are.
+    With byte-level pre-tokens a blank before a non-blank always begins one, so texts are cut there and the parts looked
+    up; a part not yet known is cut into its pre-tokens. Texts where that does not hold (two blanks in a row, a blank at
+    the end) and files of another kind are encoded as they are.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        pre = self.tokenizer.pre_tokenizer
+        kind = json.loads(pre.__getstate__()) if pre else {}
+        self.byte_level = kind.get("type") == "ByteLevel" and kind.get("use_regex") and not kind.get("add_prefix_space") and not self.tokenizer.normalizer
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.cut = regex.compile(PRETOKEN).findall
         self.memo: dict[str, bytes] = {}
-
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        self.pretokens: dict[str, bytes] = {}
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _pretokens(self, part: str) -> list[str]:
+        """The pre-tokens of a part; letters, or letters and then marks, need no search."""
+        at = 1 if part[:1] == " " else 0
+        if part[at:].isalpha():
+            return [part]
+        word = part.rstrip(MARKS)
+        if len(word) > at and word[at:].isalpha():
+            return [word, part[len(word) :]]
+        return self.cut(part)
+
+    def _fresh(self, missing: set[str]) -> dict[str, bytes]:
+        """Ids of parts that the memo lacks; kept in it while it has room."""
+        cut = {p: self._pretokens(p[1:] if p[:1] == "\0" else f" {p}") for p in missing}
+        known = self.pretokens
+        wanted = [t for t in {t for c in cut.values() for t in c} if t not in known]
+        if len(known) >= MEMO:
+            known = {t: known[t] for c in cut.values() for t in c if t in known}
+        known.update(zip(wanted, self._encode(wanted)))
+        table = {p: known[c[0]] if len(c) == 1 else b"".join([known[t] for t in c]) for p, c in cut.items()}
+        if len(self.memo) < MEMO:
+            self.memo.update(table)
+        return table
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [None if "  " in t or t.endswith(" ") else t.replace(" ", "\x00 ").split("\x00") for t in texts]
-        cut = [None if "\x00" in t else c for t, c in zip(texts, cut)]
-        missing = list({p for c in cut if c for p in c} - self.memo.keys())
-        memo = self.memo
-        if len(memo) + len(missing) > MEMO:
-            memo = memo.copy() if len(memo) < MEMO // 2 else {}
-            missing = list({p for c in cut if c for p in c} - memo.keys())
-            self.memo = memo if len(memo) + len(missing) <= 2 * MEMO else {}
-        memo.update(zip(missing, self._encode(missing)))
-        return [self._encode([t])[0] if c is None else b"".join([memo[p] for p in c]) for t, c in zip(texts, cut)]
+        def whole(t: str) -> bool:
+            return not self.byte_level or "  " in t or t[-1:] == " " or "\0" in t or any(s in t for s in self.special)
+
+        # parts are named by what follows their blank; a text's first part, which has none, by a NUL
+        parts: list[str] = []
+        ends = []
+        for t in texts:
+            if not whole(t):
+                words = t.split(" ")
+                words[0] = "\0" + words[0]
+                parts += words
+            ends.append(len(parts))
+        ids = list(map(self.memo.get, parts))
+        holes = [i for i, known in enumerate(ids) if known is None]
+        fresh = self._fresh({parts[i] for i in holes})
+        for i in holes:
+            ids[i] = fresh[parts[i]]
+        out, start = [], 0
+        for t, end in zip(texts, ends):
+            out.append(b"".join(ids[start:end]) if end > start else self._encode([t])[0])
+            start = end
+        return out
 
 
 def coder(path: str) -> WordCoder:
@@ -81,8 +132,8 @@ def pieces(docs: DataFrame, tokenizer: str, longest: int = 1024, closing_id: int
     def cut(batches):
         encode = coder(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 source, start, length, crc, total = [], [], [], [], []
                 for row, ids in enumerate(encode(texts)):
@@ -98,7 +149,7 @@ def pieces(docs: DataFrame, tokenizer: str, longest: int = 1024, closing_id: int
                 keys = part.select(["doc_id", "ident"]).take(pa.array(source, pa.int64()))
                 yield pa.RecordBatch.from_arrays([*keys.columns, *(pa.array(x, pa.int64()) for x in (start, length, crc, total))], names=[*keys.schema.names, "start", "length", "ids_crc32", "doc_tokens"])
 
-    return rows.mapInArrow(cut, PIECES.format(kind=kind.simpleString()))
+    return rows.mapInArrow(tidied(cut), PIECES.format(kind=kind.simpleString()))
 
 
 def pack(docs: DataFrame, tokenizer: str, longest: int = 1024, closing_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
