@@ -150,8 +150,8 @@ def merged_texts(spark, *nodes):
 
 
 def test_paragraphs_flow_on(spark):
-    a, b, c = (0.0, 100.0, 90.0, 110.0, "a line that ends in a hy-", "body"), (0.0, 112.0, 95.0, 122.0, "phen and goes on,", "body"), (2.0, 124.0, 60.0, 134.0, "to its end.", "body")
-    assert merged_texts(spark, a, b, c) == [("a line that ends in a hyphen and goes on, to its end.", 134.0)]
+    a, b, c = (0.0, 100.0, 90.0, 110.0, "a line that ends in a hy-", "body"), (0.0, 112.0, 95.0, 122.0, "phen and goes on,", "body"), (2.0, 124.0, 60.0, 134.0, "up to the very end of it.", "body")
+    assert merged_texts(spark, a, b, c) == [("a line that ends in a hyphen and goes on, up to the very end of it.", 134.0)]
     assert len(merged_texts(spark, (*a[:4], "it is complete!", "body"), b)) == 2
     assert len(merged_texts(spark, a, (*b[:4], "- an item of a list", "body"))) == 2
     assert len(merged_texts(spark, a, (*b[:4], "Heading", "body"))) == 2

@@ -49,7 +49,7 @@ def text_cell(ref, t):
 def test_docx(spark):
     content = docx([("Top", "H1"), ("  ",), ("Some text",), ("- item one",), ("Deep", "H3")], [[["a", "b"], [" ", ""], ["c", ""]]])
     rows = office.parsed(spark.createDataFrame([(1, bytearray(content))], "doc_id long, content binary"), office.docx_nodes).orderBy("node_pos").collect()
-    assert [(r["node_type"], r["level"], r["text"]) for r in rows] == [("title", 1, "Top"), ("paragraph", 0, "Some text"), ("list", 0, "- item one"), ("title", 3, "Deep"), ("table", 0, "a | b\nc | ")]
+    assert [(r["node_type"], r["level"], r["text"]) for r in rows] == [("title", 1, "Top"), ("paragraph", 0, "Some text"), ("list", 0, "- item one"), ("title", 3, "Deep"), ("table", 0, "a | b\nc |")]
     got = chunking.chunk_nodes(office.parsed(spark.createDataFrame([(1, bytearray(content))], "doc_id long, content binary"), office.docx_nodes)).orderBy("chunk_index").collect()
     assert got[-1]["section_path"] == ["Top", "Deep"] and got[-1]["chunk_type"] == "table"
 
