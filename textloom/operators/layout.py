@@ -22,7 +22,7 @@ PARAGRAPH_END = "[。！？!?；;：:]$"
 
 
 def column_order(blocks: DataFrame) -> DataFrame:
-    """Adds ``place`` (from 0): left column first, then rows of 12 points, then x; blank blocks last; ties by block_no.
+    """Adds ``place`` (from 0): left column first, then rows of 12 points, then x; blank blocks last; ties by block_no, then x1 and y1.
 
     The columns part at the upper median of the centres of non-blank blocks. Pages of blank blocks only are dropped.
     """
@@ -32,7 +32,7 @@ def column_order(blocks: DataFrame) -> DataFrame:
     middle = F.element_at(centres, (F.floor(F.size(centres) / 2) + 1).cast("int"))
     kept = blocks.withColumn("middle", F.when(F.size(centres) > 0, middle)).where("middle IS NOT NULL")
     key = [F.when(~full, 99).when(centre <= F.col("middle"), 0).otherwise(1), F.when(full, F.bround(F.col("y0") / ROW_HEIGHT)).otherwise(99), F.when(full, F.col("x0")).otherwise(99)]
-    order = Window.partitionBy(*PAGE).orderBy(*key, "block_no")
+    order = Window.partitionBy(*PAGE).orderBy(*key, "block_no", "x1", "y1")
     return kept.withColumn("place", (F.row_number().over(order) - 1).cast("long")).drop("middle")
 
 

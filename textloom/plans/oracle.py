@@ -217,7 +217,7 @@ FLOWING = f"""{PAGE_BLOCKS}, g AS (
          CASE block_no % 3 WHEN 0 THEN 'it goes on and on,' WHEN 1 THEN 'half a word of a long para-' ELSE 'this one comes to an end.' END || ' and ' || doc_id AS text FROM b
 ), c AS (SELECT *, list_sort(list((x0 + x1) / 2) OVER (PARTITION BY doc_id, page_no)) AS mids FROM g
 ), r AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY CASE WHEN (x0 + x1) / 2 <= mids[len(mids) // 2 + 1] THEN 0 ELSE 1 END, round_even(y0 / 12, 0), x0, block_no) - 1 AS place FROM c
+  SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY CASE WHEN (x0 + x1) / 2 <= mids[len(mids) // 2 + 1] THEN 0 ELSE 1 END, round_even(y0 / 12, 0), x0, block_no, x1, y1) - 1 AS place FROM c
 ), f AS (
   SELECT doc_id, page_no, place, place AS head, role, x0, y0, x1, y1, text FROM r WHERE place = 0
   UNION ALL
