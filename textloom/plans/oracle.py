@@ -345,3 +345,12 @@ FROM files WHERE doc_id NOT IN (SELECT doc_id FROM lines WHERE len(raw) <= 60)""
     "request_metrics": """SELECT 'POST' AS method, '/' || event_type AS path, CASE WHEN user_id % 9 = 0 THEN 500 ELSE 200 END AS status, count(*) AS n, sum(floor(value))::BIGINT AS seconds,
   count(*) FILTER (WHERE floor(value) <= 1) AS le_1, count(*) FILTER (WHERE floor(value) <= 10) AS le_10, count(*) FILTER (WHERE floor(value) <= 50) AS le_50 FROM events GROUP BY ALL""",
 }
+
+#: The same with each heading as a further line before its own, so that no character is lost; for the queries named _whole.
+WHOLE = """marked AS (
+  SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda l, i: CASE
+      WHEN (i - 1) % 11 = 0 THEN repeat('#', (((i - 1) // 11) % 3 + 1)::INT) || ' ' || left(l, 24) || chr(10) || l
+      WHEN (i - 1) % 5 = 0 THEN '- ' || l ELSE l END), chr(10)) AS text
+  FROM documents
+)"""
+SQL |= {f"{name}_whole": sql.replace(MARKED, WHOLE) for name, sql in SQL.items() if MARKED in sql}

@@ -23,6 +23,13 @@ def query(f: Query) -> Query:
     return f
 
 
+def marked_query(f: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """Registers f over the marked documents, whose heading lines are cut, and as f_whole over all of their characters."""
+    FOUND[f.__name__] = lambda spark, folder: f(marked_docs(spark, folder))
+    FOUND[f"{f.__name__}_whole"] = lambda spark, folder: f(whole_docs(spark, folder))
+    return f
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -31,12 +38,16 @@ def long(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("long")
 
 
-def marked(text: Column) -> Column:
-    """The prose with headings and list rows put in by line number, so that all line classes occur."""
+def marked(text: Column, whole: bool = False) -> Column:
+    """The prose with headings and list rows put in by line number, so that all line classes occur. A heading takes the place
+    of its line, of which 24 characters stay, or if whole is a further line before it."""
 
     def line(raw: Column, i: Column) -> Column:
         hashes = F.repeat(F.lit("#"), (F.floor(i / 11) % 3 + 1).cast("int"))
-        return F.when(i % 11 == 0, F.concat(hashes, F.lit(" "), F.left(raw, F.lit(24)))).when(i % 5 == 0, F.concat(F.lit("- "), raw)).otherwise(raw)
+        heading = F.concat(hashes, F.lit(" "), F.left(raw, F.lit(24)))
+        if whole:
+            heading = F.concat(heading, F.lit("\n"), raw)
+        return F.when(i % 11 == 0, heading).when(i % 5 == 0, F.concat(F.lit("- "), raw)).otherwise(raw)
 
     return F.array_join(F.transform(F.split(text, "\n"), line), "\n")
 
@@ -45,16 +56,20 @@ def marked_docs(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", marked(F.col("text")).alias("text"))
 
 
-def marked_nodes(spark: SparkSession, folder: str) -> DataFrame:
-    return lines.nodes(lines.line_rows(marked_docs(spark, folder)))
+def whole_docs(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select("doc_id", marked(F.col("text"), whole=True).alias("text"))
+
+
+def marked_nodes(docs: DataFrame) -> DataFrame:
+    return lines.nodes(lines.line_rows(docs))
 
 
-def marked_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    return segment.blocks(segment.section_paths(lines.normalised(marked_nodes(spark, folder))))
+def marked_blocks(docs: DataFrame) -> DataFrame:
+    return segment.blocks(segment.section_paths(lines.normalised(marked_nodes(docs))))
 
 
-def text_path_facts(spark: SparkSession, folder: str) -> DataFrame:
-    return segment.block_facts(marked_blocks(spark, folder)).withColumn("path", segment.path_text(F.col("path")))
+def text_path_facts(docs: DataFrame) -> DataFrame:
+    return segment.block_facts(marked_blocks(docs)).withColumn("path", segment.path_text(F.col("path")))
 
 
 # -- text -------------------------------------------------------------------------------------------------------------
@@ -91,26 +106,26 @@ def decode_utf8(spark, folder):
 # -- lines to blocks --------------------------------------------------------------------------------------------------
 
 
-@query
-def line_class(spark, folder):
-    return lines.line_rows(marked_docs(spark, folder)).select("doc_id", long("line_no").alias("line_no"), "class")
+@marked_query
+def line_class(docs):
+    return lines.line_rows(docs).select("doc_id", long("line_no").alias("line_no"), "class")
 
 
-@query
-def markdown_nodes(spark, folder):
-    n = marked_nodes(spark, folder)
+@marked_query
+def markdown_nodes(docs):
+    n = marked_nodes(docs)
     return n.select("doc_id", long("node_pos").alias("node_pos"), "node_type", long("level").alias("level"), F.md5("text").alias("text_hash"))
 
 
-@query
-def normalize_nodes(spark, folder):
-    n = lines.normalised(marked_nodes(spark, folder))
+@marked_query
+def normalize_nodes(docs):
+    n = lines.normalised(marked_nodes(docs))
     return n.groupBy("doc_id", "node_type").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars"), F.sum("level").alias("levels"))
 
 
-@query
-def office_nodes(spark, folder):
-    n = lines.office_nodes(lines.line_rows(marked_docs(spark, folder)))
+@marked_query
+def office_nodes(docs):
+    n = lines.office_nodes(lines.line_rows(docs))
     return n.select("doc_id", long("node_pos").alias("node_pos"), "node_type", long("level").alias("level"), F.md5("text").alias("text_hash"))
 
 
@@ -120,26 +135,26 @@ def page_node_types(spark, folder):
     return rows.select("doc_id", long("line_no").alias("line_no"), lines.page_node_type(F.col("raw")).alias("node_type"))
 
 
-@query
-def section_path(spark, folder):
-    n = segment.section_paths(lines.normalised(marked_nodes(spark, folder)))
+@marked_query
+def section_path(docs):
+    n = segment.section_paths(lines.normalised(marked_nodes(docs)))
     return n.select("doc_id", long("node_pos").alias("node_pos"), segment.path_text(F.col("section_path")).alias("section_path"))
 
 
-@query
-def segment_blocks(spark, folder):
-    f = text_path_facts(spark, folder)
+@marked_query
+def segment_blocks(docs):
+    f = text_path_facts(docs)
     return f.select("doc_id", "block_id", "path", long("tokens").alias("tokens"), "n_nodes", F.md5("text").alias("text_hash"))
 
 
-@query
-def merge_short_blocks(spark, folder):
-    return merge.merge_groups(text_path_facts(spark, folder)).select("doc_id", "block_id", "group_id")
+@marked_query
+def merge_short_blocks(docs):
+    return merge.merge_groups(text_path_facts(docs)).select("doc_id", "block_id", "group_id")
 
 
-@query
-def serialize_blocks(spark, folder):
-    s = segment.serialised(segment.block_facts(marked_blocks(spark, folder)))
+@marked_query
+def serialize_blocks(docs):
+    s = segment.serialised(segment.block_facts(marked_blocks(docs)))
     return s.select("doc_id", "chunk_index", "chunk_id", "chunk_type", "section_path", "preview_text", F.md5("full_text").alias("text_hash"))
 
 
@@ -181,9 +196,9 @@ def node_pack(spark, folder):
     return rows.select("doc_id", long("line_no").alias("line_no"), long("pack").alias("pack"))
 
 
-@query
-def chunk_documents(spark, folder):
-    c = chunking.chunk_texts(marked_docs(spark, folder))
+@marked_query
+def chunk_documents(docs):
+    c = chunking.chunk_texts(docs)
     return c.select("doc_id", "chunk_index", "chunk_id", "chunk_type", segment.path_text(F.col("section_path")).alias("section_path"), "tokens", "preview_text", F.md5("full_text").alias("text_hash"))
 
 
@@ -197,23 +212,22 @@ def chunk_parsed_nodes(spark, folder):
     return got.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum("tokens").alias("tokens"), F.sum(F.length("full_text")).alias("n_chars"))
 
 
-@query
-def document_summary(spark, folder):
-    docs = marked_docs(spark, folder)
+@marked_query
+def document_summary(docs):
     return chunking.document_summary(docs, chunking.chunk_texts(docs))
 
 
 # -- store ------------------------------------------------------------------------------------------------------------
 
 
-def stored_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    s = segment.serialised(segment.block_facts(marked_blocks(spark, folder)))
+def stored_chunks(docs: DataFrame) -> DataFrame:
+    s = segment.serialised(segment.block_facts(marked_blocks(docs)))
     return s.withColumn("document_id", F.col("doc_id").cast("string"))
 
 
-@query
-def paged_chunks(spark, folder):
-    got = store.paged(stored_chunks(spark, folder), page=2, page_size=5)
+@marked_query
+def paged_chunks(docs):
+    got = store.paged(stored_chunks(docs), page=2, page_size=5)
     return got.select("document_id", "chunk_index", "chunk_type", "preview_text")
 
 
@@ -224,9 +238,9 @@ def page_lists(spark, folder):
     return got.select("l_orderkey", F.array_join(F.transform("p", lambda x: x.cast("string")), ",").alias("pages"))
 
 
-@query
-def json_columns(spark, folder):
-    s = segment.section_paths(lines.normalised(marked_nodes(spark, folder))).select("doc_id", "node_pos", "section_path", F.array(long("node_pos")).alias("page_no"))
+@marked_query
+def json_columns(docs):
+    s = segment.section_paths(lines.normalised(marked_nodes(docs))).select("doc_id", "node_pos", "section_path", F.array(long("node_pos")).alias("page_no"))
     back = store.from_json_columns(store.json_columns(s).withColumn("page_no", F.when(F.col("node_pos") % 2 == 0, F.col("page_no"))))
     return back.select("doc_id", long("node_pos").alias("node_pos"), segment.path_text(F.col("section_path")).alias("section_path"), long(F.size("page_no")).alias("n_pages"))
 
@@ -264,9 +278,9 @@ def decision_counts(spark, folder):
     return boundary.decision_counts(decided_neighbours(spark, folder))
 
 
-@query
-def boundary_gate(spark, folder):
-    facts = text_path_facts(spark, folder)
+@marked_query
+def boundary_gate(docs):
+    facts = text_path_facts(docs)
     pairs = boundary.neighbours(facts, ["path", "tokens", "n_title", "n_table"])
     d = boundary.decision(boundary.gate("prev_", ""), F.lit(None).cast("double"), F.lit(None).cast("boolean"), BoundaryOptions(similarity=False))
     return pairs.select("doc_id", "block_id", boundary.gate("prev_", "").alias("eligible"), d["strategy"].alias("strategy"))
