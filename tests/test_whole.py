@@ -28,3 +28,11 @@ def test_a_long_line_reaches_the_splitter(spark, small):
     letters = "".join(c for r in chunks for c in r["full_text"] if c.isalpha())
     assert len(chunks) > 1 and letters == "".join(c for c in LONG[:24] + LONG if c.isalpha())
     assert registry.queries()["chunk_documents_whole"](spark, small).where("doc_id = 0").count() == len(chunks)
+
+
+def test_ocr_and_empty_documents_see_all_nodes(spark, small):
+    ocr = {r["doc_id"]: (r["n_chars"], r["needs_ocr"]) for r in registry.queries()["ocr_fallback_whole"](spark, small).collect()}
+    # short lines of one kind are one node, and what surrounds a node is stripped
+    assert ocr == {i: (len((t or "").strip()), len((t or "").strip()) < 40) for i, t in enumerate(TEXTS)}
+    empty = {r["doc_id"]: r["error"] for r in registry.queries()["empty_documents_whole"](spark, small).collect()}
+    assert empty == {2: "invalid_value", 3: "invalid_value", 5: "invalid_value"}

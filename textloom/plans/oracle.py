@@ -354,3 +354,10 @@ WHOLE = """marked AS (
   FROM documents
 )"""
 SQL |= {f"{name}_whole": sql.replace(MARKED, WHOLE) for name, sql in SQL.items() if MARKED in sql}
+WHOLE_NODES = f"{lines('documents', MARKDOWN_CLASS)}, {RUNS}, {NODES}"
+SQL |= {
+    "ocr_fallback_whole": f"""WITH {WHOLE_NODES}, held AS (SELECT doc_id, sum(len(text)) AS n FROM nodes GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_chars, coalesce(n, 0) < 40 AS needs_ocr FROM documents LEFT JOIN held USING (doc_id)""",
+    "empty_documents_whole": f"""WITH {FILES}, {WHOLE_NODES} SELECT doc_id, CASE WHEN suffix = '.pdf' OR suffix IN {IMAGES} THEN 'ocr_required' ELSE 'invalid_value' END AS error
+FROM files WHERE doc_id NOT IN (SELECT doc_id FROM nodes)""",
+}

@@ -429,6 +429,19 @@ def empty_documents(spark, folder):
     return ingest.empty_documents(f, nodes)
 
 
+@query
+def ocr_fallback_whole(spark, folder):
+    """The same from all nodes of the documents."""
+    docs = table(spark, folder, "documents")
+    return ingest.needs_ocr(docs, marked_nodes(docs))
+
+
+@query
+def empty_documents_whole(spark, folder):
+    """The same from all nodes of the documents."""
+    return ingest.empty_documents(files(spark, folder), marked_nodes(table(spark, folder, "documents")))
+
+
 @query
 def data_urls(spark, folder):
     return table(spark, folder, "benchmark").select("item_id", tx.data_url(F.lit("text/plain"), F.encode("text", "UTF-8")).alias("url"))
