@@ -74,3 +74,30 @@ def test_empty_and_clashing(spark):
     rows = [(held, "only held", 1, "x")]
     out = lm.score(spark.createDataFrame(rows, SCHEMA + ", chunk int, word string")).collect()
     assert [(x["n_known"], x["train_tokens"], x["base_score"]) for x in out] == [(0, 0, 0.0)]
+
+
+def test_words_beyond_the_first_ones_are_exchanged_too(spark):
+    r = np.random.default_rng(4)
+    # words of four kinds follow each other in turn; six words alone are too few to tell all four
+    rows = [(i, " ".join("of" if r.random() < 0.1 else f"{'abcd'[j % 4]}{int(r.integers(60))}" for j in range(80))) for i in range(300)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    few, many = (sum(x["score"] for x in lm.score(docs, classes=6, exchanged=n).collect() if x["held_out"]) for n in (6, 400))
+    assert few > 1.02 * many
+
+
+def test_places_hold_every_occurrence():
+    r = np.random.default_rng(5)
+    words, ids = [b"w%d" % i for i in range(50)], (r.zipf(1.4, 3000) % 50).astype(np.int32)
+    of = r.integers(0, 5, 50)
+    row = {"chunk": 3, "held": lm._packed(np.zeros(2), "u1"), "lens": lm._packed(np.array([1000, 2000]), "<i4"), "ids": lm._packed(ids, "<i4"), "counts": lm._packed(np.bincount(ids, minlength=50), "<i4")}
+    numbers, state, _ = lm._stream(row, of, 5, True)
+    (batch,) = lm._places(row, words, numbers, state, 5, np.flatnonzero(numbers >= 0), np.zeros(50, np.int64))
+    before, after = lm._around(state, 5)
+    pairs, size = lm._spans(batch.column("around"), "u1")
+    times, counted = lm._spans(batch.column("times"), "<u4")
+    at, turn = 0, 0
+    for w in range(50):
+        have = [tuple(p) for p in pairs[at : at + size[w]].reshape(-1, 2).tolist()]
+        often = times[turn : turn + counted[w]].tolist() or [1] * len(have)
+        at, turn = at + size[w], turn + counted[w]
+        assert Counter(dict(zip(have, often))) == Counter(zip(before[numbers == w].tolist(), after[numbers == w].tolist()))

@@ -6,13 +6,14 @@
 u(v) being the smoothed share of once-seen words after v's class, U an estimate (Chao) of how many unseen words there are.
 
 Classes come from exchange clustering, run the distributed way: every round counts, over the whole training corpus, each
-word's neighbours by class, and moves every word to the class in which it raises the likelihood most. The ``exchanged``
-most frequent words are moved in ``rounds`` rounds, starting from one class for each of the most frequent ones; all other
-words join the class that suits their neighbours best, in one exchange over their own counts. So every word of the corpus
-has a class, and only two tables of fixed size (exchanged words x classes, classes x classes) ever reach the driver.
+word's neighbours by class, and moves every word to the class in which it raises the likelihood most. To begin with, the
+``exchanged`` most frequent words are moved in ``rounds`` rounds, starting from one class for each of the most frequent
+ones; all other words join the class that suits their neighbours best. From there all words of the corpus are moved, in
+rounds that go on until the likelihood rises by less than ``GAIN`` a token; a round that lowers it is dropped. Only two
+tables of fixed size (exchanged words x classes, classes x classes) ever reach the driver.
 
 Texts are tokenised once and stored as numbers in chunks with their own lexicon; what a chunk needs to know of its words
-comes by one exchange over (word, chunk). A text is read with the end before its first word.
+comes by one exchange over (word, chunk) a round. A text is read with the end before its first word.
 
 Defined results: null counts as empty (one end); a null doc_id counts as empty text in the split; without training texts
 every score follows the same formulas with zero counts; an empty table gives no row.
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .language import held_out
 from .near_join import runs
-from .runtime import Scratch, checkpoint, partitions, parts, tidied
+from .runtime import Scratch, checkpoint, partitions, parts, shuffles_dropped, tidied
 
 CLASSES, EXCHANGED, ROUNDS = 32, 8192, 4
 #: Tokens after which a chunk is closed, and bytes of one text read at a time.
@@ -39,6 +40,8 @@ CHUNK, SLICE = 1 << 22, 4 << 20
 #: Bits of a chunk's number that count the chunks of a task, and of a word's place that number it within its chunk.
 TURNS, NUMBERS = 12, 28
 SMOOTH_CLASS, SMOOTH_UNSEEN = 5.0, 20.0
+#: Rise of the training texts' log-likelihood, in nats a token, below which the rounds over all words have converged.
+GAIN = 0.001
 
 
 class _Numbers(dict):
@@ -222,9 +225,41 @@ def exchange(coded: DataFrame, top, words: int, classes: int, rounds: int) -> tu
     return now, *_affinity(before, after, now, states)
 
 
+def _binary(data: bytes, edges: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32).tobytes()), pa.py_buffer(data)])
+
+
+def _spans(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a binary column as one array, and how many each row has."""
+    edges = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[edges[0] : edges[-1]].tobytes() if data is not None else b""
+    return np.frombuffer(raw, kind), np.diff(edges) // np.dtype(kind).itemsize
+
+
+def _places(row: dict, words: list[bytes], numbers: np.ndarray, state: np.ndarray, end: int, at: np.ndarray, given: np.ndarray):
+    """Per word of a chunk: its place (chunk, number), its training count and (from 1) its class if it is given, and the pairs of
+    classes around its training tokens at these places, with how often each occurs unless all occur once."""
+    before, after = _around(state, end)
+    key = (numbers[at].astype(np.int64) << 16) + (before[at].astype(np.int64) << 8) + after[at]
+    key, times = np.unique(key, return_counts=True)
+    owner = key >> 16
+    edges = np.searchsorted(owner, np.arange(len(words) + 1))
+    pairs = np.stack([key >> 8 & 255, key & 255], 1).astype(np.uint8)
+    repeated = np.bincount(owner, times, len(words)) > np.diff(edges)
+    counted = np.r_[0, np.cumsum(np.diff(edges) * repeated)]
+    times = times[repeated[owner]].astype("<u4")
+    place = (row["chunk"] << NUMBERS) + np.arange(len(words), dtype=np.int64)
+    known = (_unpacked(row["counts"], "<i4").astype(np.int64) << 8) + given
+    for a in range(0, len(words), 20_000):
+        cut, ends = slice(a, a + 20_000), slice(a, a + 20_001)
+        e, c = edges[ends], counted[ends]
+        around = _binary(pairs[e[0] : e[-1]].tobytes(), 2 * (e - e[0])), _binary(times[c[0] : c[-1]].tobytes(), 4 * (c - c[0]))
+        yield pa.RecordBatch.from_arrays([pa.array(words[cut], pa.binary()), pa.array(place[cut]), pa.array(known[cut]), *around], names=["word", "at", "known", "around", "times"])
+
+
 def _occurrences(top, classes: np.ndarray, states: int):
-    """Per chunk and word: its place (chunk, number), its training count and (from 1) its class if it was exchanged, and else
-    the classes around each training occurrence."""
+    """``_places`` of all words, the exchanged ones with their class and the others with what is around them."""
     rare, end = states - 2, states - 1
 
     def run(batches):
@@ -234,20 +269,23 @@ def _occurrences(top, classes: np.ndarray, states: int):
                 continue
             place, of_word = _top_classes(words, top.value, classes, rare)
             numbers, state, _ = _stream(row, of_word, end, True)
-            before, after = _around(state, end)
             at = np.flatnonzero(numbers >= 0)
             at = at[place[numbers[at]] < 0]
-            order = np.argsort(numbers[at], kind="stable")
-            at = at[order]
-            around = np.stack([before[at], after[at]], 1).astype(np.uint8).tobytes()
-            edges = 2 * np.searchsorted(numbers[at], np.arange(len(words) + 1))
-            spans = [around[a:b] for a, b in zip(edges[:-1], edges[1:])]
-            counts = _unpacked(row["counts"], "<i4").astype(np.int64)
-            at = (row["chunk"] << NUMBERS) + np.arange(len(words), dtype=np.int64)
-            known = (counts << 8) + np.where(place >= 0, of_word + 1, 0)
-            for a in range(0, len(words), 20_000):
-                cut = slice(a, a + 20_000)
-                yield pa.RecordBatch.from_arrays([pa.array(words[cut], pa.binary()), pa.array(at[cut]), pa.array(known[cut]), pa.array(spans[cut], pa.binary())], names=["word", "at", "known", "around"])
+            yield from _places(row, words, numbers, state, end, at, np.where(place >= 0, of_word + 1, 0))
+
+    return run
+
+
+def _all_occurrences(classes: int):
+    """``_places`` of all words with what is around them, from the class that each has."""
+
+    def run(batches):
+        for row in _rows(batches):
+            words = row["words"].split(b" ") if row["words"] else []
+            if not words:
+                continue
+            numbers, state, _ = _stream(row, _unpacked(row["class"], "u1"), classes, True)
+            yield from _places(row, words, numbers, state, classes, np.flatnonzero(numbers >= 0), np.zeros(len(words), np.int64))
 
     return run
 
@@ -281,16 +319,19 @@ def _placed(log_before: np.ndarray, log_after: np.ndarray):
             run_of = np.cumsum(fresh) - 1
             known = batch.column("known").to_numpy()
             n = np.add.reduceat(known >> 8, start)
-            around = batch.column("around").to_pylist()
-            owner = np.repeat(run_of, [len(x) // 2 for x in around])
-            pairs = np.frombuffer(b"".join(around), np.uint8).reshape(-1, 2).astype(np.int64)
+            pairs, size = _spans(batch.column("around"), "u1")
+            pairs = pairs.reshape(-1, 2).astype(np.int64)
+            times, counted = _spans(batch.column("times"), "<u4")
+            owner = np.repeat(run_of, size // 2)
+            weight = np.ones(len(pairs))
+            weight[np.repeat(counted > 0, size // 2)] = times
             best = np.zeros(len(start), np.int64)
             for a in range(0, len(start), 4096):
                 some = slice(*np.searchsorted(owner, [a, min(a + 4096, len(start))]))
                 size = min(4096, len(start) - a)
                 cell = (owner[some] - a) * states
-                by = np.bincount(cell + pairs[some, 0], minlength=size * states).reshape(size, states)
-                to = np.bincount(cell + pairs[some, 1], minlength=size * states).reshape(size, states)
+                by = np.bincount(cell + pairs[some, 0], weight[some], size * states).reshape(size, states)
+                to = np.bincount(cell + pairs[some, 1], weight[some], size * states).reshape(size, states)
                 best[a : a + size] = (by @ log_before + to @ log_after).argmax(1)
             given = np.maximum.reduceat(known & 255, start) - 1
             best = np.where(given >= 0, given, best)
@@ -341,6 +382,19 @@ def _transitions(classes: int):
     return run
 
 
+def _likelihood(moves: np.ndarray) -> float:
+    """Nats a token of the class bigrams with these counts (context, state), less what no class changes."""
+    total = moves.sum()
+    x, rows, columns = (v[v > 0].astype(float) for v in (moves, moves.sum(1), moves.sum(0)))
+    return float(((x * np.log(x)).sum() - (rows * np.log(rows)).sum() - (columns * np.log(columns)).sum()) / total) if total else 0.0
+
+
+def _class_affinity(moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_affinity``, from the counts (context, state) of all words' classes and the end."""
+    came, went = moves[:, :-1] + 0.5, moves[:-1].T + 0.5
+    return np.log(came / came.sum(0)), np.log(went / went.sum(0))
+
+
 class ClassModel:
     """log10 tables: transitions (context x state, known words only), class sizes, unseen words by context."""
 
@@ -395,7 +449,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", classes:
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id), 7, 2).alias("held"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    with Scratch(spark) as scratch:
+    with Scratch(spark) as scratch, shuffles_dropped(spark):
         coded = rows.mapInArrow(tidied(_coded(chunk)), f"chunk long, docs array<{kind}>, held binary, lens binary, ids binary, words binary, counts binary")
         coded = scratch.table(coded, "coded", **{"parquet.block.size": str(16 << 20), "compression": "zstd"})
         vocabulary = scratch.table(coded.select("words", "counts").mapInArrow(tidied(_counted), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "vocabulary")
@@ -403,19 +457,38 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", classes:
         ends = rows.where("NOT held").count()
         # the exchanged words: at most `exchanged` rows
         best = [bytes(r["word"]) for r in vocabulary.orderBy(F.desc("n"), "word").limit(exchanged).collect()]
+        scratch.drop("vocabulary")
         top = spark.sparkContext.broadcast({w: i for i, w in enumerate(best)})
         states = classes + 2
         now, log_before, log_after = exchange(coded, top, len(best), classes, rounds)
-        met = coded.select("chunk", "held", "lens", "ids", "words", "counts").mapInArrow(tidied(_occurrences(top, now, states)), "word binary, at long, known long, around binary")
-        met = met.repartition(partitions(spark), "word").sortWithinPartitions("word")
-        met = met.mapInArrow(tidied(_placed(log_before, log_after)), "at long, known long")
+        around = "word binary, at long, known long, around binary, times binary"
         chunk_of = F.shiftright("at", NUMBERS)
-        lexicons = met.repartition(partitions(spark), chunk_of).sortWithinPartitions("at").select(chunk_of.alias("chunk"), "known").mapInArrow(tidied(_lexicons), "chunk long, n binary, class binary")
-        known = scratch.table(coded.drop("words", "counts").join(lexicons, "chunk", "left"), "known", **{"parquet.block.size": str(16 << 20), "compression": "zstd"})
-        table = np.zeros((classes + 2) ** 2, np.int64)
-        for r in known.mapInArrow(tidied(_transitions(classes)), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-            table[r["cell"]] = r["n"]
-        model = ClassModel(table.reshape(classes + 2, classes + 2), classes, whole["n"] + ends, whole["v"] + (ends > 0), whole["once"], whole["twice"])
+
+        def classed(base: DataFrame, met: DataFrame, log_before: np.ndarray, log_after: np.ndarray, name: str) -> tuple[DataFrame, np.ndarray]:
+            """The chunks with the counts and classes of their words, and the counts of ``_transitions`` in them."""
+            met = met.repartition(partitions(spark), "word").sortWithinPartitions("word")
+            met = met.mapInArrow(tidied(_placed(log_before, log_after)), "at long, known long")
+            lexicons = met.repartition(partitions(spark), chunk_of).sortWithinPartitions("at").select(chunk_of.alias("chunk"), "known").mapInArrow(tidied(_lexicons), "chunk long, n binary, class binary")
+            known = scratch.table(base.join(lexicons, "chunk", "left"), name, **{"parquet.block.size": str(16 << 20), "compression": "zstd"})
+            table = np.zeros((classes + 2) ** 2, np.int64)
+            streams = known.select("held", "lens", "ids", "n", "class")
+            for r in streams.mapInArrow(tidied(_transitions(classes)), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+                table[r["cell"]] = r["n"]
+            return known, table.reshape(classes + 2, classes + 2)
+
+        met = coded.select("chunk", "held", "lens", "ids", "words", "counts").mapInArrow(tidied(_occurrences(top, now, states)), around)
+        known, table = classed(coded, met, log_before, log_after, "known0")
+        scratch.drop("coded")
+        gain, turn = GAIN * (whole["n"] > 0), 0
+        while gain >= GAIN:
+            turn += 1
+            moves = table[: classes + 1, : classes + 1]
+            met = known.select("chunk", "held", "lens", "ids", "words", "counts", "class").mapInArrow(tidied(_all_occurrences(classes)), around)
+            moved, counts = classed(known.drop("n", "class"), met, *_class_affinity(moves), f"known{turn % 2}")
+            gain = _likelihood(counts[: classes + 1, : classes + 1]) - _likelihood(moves)
+            if gain > 0:
+                known, table = moved, counts
+        model = ClassModel(table, classes, whole["n"] + ends, whole["v"] + (ends > 0), whole["once"], whole["twice"])
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]
-        out = known.mapInArrow(tidied(_scored(model, ends, names)), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+        out = known.drop("words", "counts").mapInArrow(tidied(_scored(model, ends, names)), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
         return checkpoint(out)

@@ -57,12 +57,31 @@ class Scratch:
         df.write.options(**options).mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop(self, name: str) -> None:
+        """Deletes a table that nothing reads any more."""
+        self._delete(f"{self.root}/{name}")
+
     def __exit__(self, *_: object) -> None:
+        self._delete(self.root)
+
+    def _delete(self, folder: str) -> None:
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
+        path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Each query's shuffle files go when it ends, so that rounds do not add up on the disks."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if old is None else spark.conf.set(name, old)
+
+
 def tidied(run: Callable) -> Callable:
     """The Arrow function ``run``, giving memory that it no longer uses back to the system when its task ends.
 
