@@ -115,6 +115,14 @@ def test_licence_scan(spark, sf):
     assert licences.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_two_licences_in_one_paragraph(spark, sf):
+    prose = [(i, r["text"]) for i, r in enumerate(spark.read.parquet(f"{sf}/documents.parquet").select("text").limit(60).collect())]
+    mit, apache = "Licensed under the MIT license.", "Licensed under the Apache License, Version 2.0."
+    rows = [(1000, f"{mit} {apache}"), (1001, f"{apache} {mit}"), (1002, "Licensed under CC BY-SA 4.0."), (1003, "Licensed under the GNU Lesser General Public License, version 3.")]
+    got = {r["doc_id"]: {m["family"] for m in r["matches"]} for r in licences.scan(spark.createDataFrame(prose + rows, "doc_id long, text string")).where("doc_id >= 1000").collect()}
+    assert got == {1000: {"MIT", "Apache-2.0"}, 1001: {"MIT", "Apache-2.0"}, 1002: {"CC-BY-SA-4.0"}, 1003: {"LGPL-3.0"}}
+
+
 def test_pieces_cover_every_word():
     lengths = [0, 1, 31, 32, 33, 48, 49, 200]
     offsets = np.r_[0, np.cumsum(lengths)]

@@ -3,7 +3,7 @@
 Multinomial logistic regression over hashed words and word pairs, on pieces of a paragraph of at most 32 words (longer
 paragraphs are read in steps of 16 words). Licence classes are trained on the templates below and noisy copies of them; the
 class "unknown" on pieces of a bounded hash sample of the documents. Probabilities are calibrated by a temperature fitted on
-held-out pieces. A predicted piece counts only if its words also resemble one of the family's templates.
+held-out pieces. A predicted piece counts only if its words also resemble one of the family's templates; it can name several.
 
 Defined results: a null or empty text has no licence; identical rows get the same result; very long texts are read whole,
 piece by piece; an empty table gives no row.
@@ -114,12 +114,31 @@ class LicenceModel:
 
     def resemblance(self, words: np.ndarray, family: int) -> float:
         """The largest share of a template's words and pairs that the piece has, or for cut pieces of the piece's that it has."""
-        own = np.unique(np.r_[words, gram_hashes(words, 2)])
-        best = 0.0
+        return self._closest(np.unique(np.r_[words, gram_hashes(words, 2)]), family)[0]
+
+    def _closest(self, own: np.ndarray, family: int) -> tuple[float, np.ndarray]:
+        best, closest = 0.0, self.templates[family][0]
         for template in self.templates[family]:
             both = len(np.intersect1d(own, template, assume_unique=True))
-            best = max(best, both / len(template), both / max(len(own), 8))
-        return min(best, 1.0)
+            if (alike := max(both / len(template), both / max(len(own), 8))) > best:
+                best, closest = alike, template
+        return min(best, 1.0), closest
+
+    def confirmed(self, words: np.ndarray, p: np.ndarray) -> list[tuple[int, float]]:
+        """Families above the unknown class that the piece resembles, the likeliest first. A further one must also be there by what
+        its template has and those of the families before do not, since some licences share most of their words."""
+        own = np.unique(np.r_[words, gram_hashes(words, 2)])
+        found, used = [], np.zeros(0, own.dtype)
+        for family in np.argsort(-p[1:], kind="stable"):
+            if p[family + 1] <= p[0]:
+                break
+            alike, template = self._closest(own, family)
+            rest = np.setdiff1d(template, used, assume_unique=True)
+            apart = len(rest) > 0 and len(np.intersect1d(own, rest, assume_unique=True)) >= RESEMBLE * len(rest)
+            if alike >= RESEMBLE and (apart or not found):
+                found.append((int(family), alike))
+                used = np.union1d(used, template)
+        return found
 
 
 def _grams(text: str) -> np.ndarray:
@@ -225,15 +244,12 @@ def _scan(model: LicenceModel):
                     f, l = first[a : a + (1 << 15)], last[a : a + (1 << 15)]
                     base = f[0]
                     p = model.probabilities(words[base : l.max()], f - base, l - base)
-                    for k in np.flatnonzero(p[:, 1:].max(1) >= CERTAIN):
-                        family = int(p[k, 1:].argmax())
-                        alike = model.resemblance(words[f[k] : l[k]], family)
-                        if alike < RESEMBLE:
-                            continue
+                    for k in np.flatnonzero(p[:, 1:].sum(1) >= CERTAIN):
                         line = int(paragraph[a + k])
                         doc = int(doc_of[line])
-                        found = best[doc].setdefault((line, family), [float(p[k, family + 1]), alike])
-                        found[0], found[1] = max(found[0], float(p[k, family + 1])), max(found[1], alike)
+                        for family, alike in model.confirmed(words[f[k] : l[k]], p[k]):
+                            found = best[doc].setdefault((line, family), [float(p[k, family + 1]), alike])
+                            found[0], found[1] = max(found[0], float(p[k, family + 1])), max(found[1], alike)
                 for doc, found in enumerate(best):
                     for (line, family), (certain, alike) in sorted(found.items()):
                         spans[doc].append({"paragraph": line - int(edges[doc]), "family": FAMILIES[family], "probability": certain, "resemblance": alike})
