@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import tidied
+from .runtime import identity, tidied
 from .words import gram_hashes, mix64, word_hashes
 
 #: Short notices by which licences are declared.
@@ -264,7 +264,7 @@ _SPANS = pa.list_(pa.struct([("paragraph", pa.int64()), ("family", pa.string()),
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, matches (paragraph, family, probability, resemblance of each confirmed paragraph)."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    model = train(unknown_pieces(docs, text, F.concat_ws("\x01", F.col(doc_id).cast("string"), F.col(text))))
+    model = train(unknown_pieces(docs, text, identity(F.col(doc_id), F.col(text))))
     kind = rows.schema["doc_id"].dataType
     match = T.ArrayType(T.StructType([T.StructField("paragraph", T.LongType()), T.StructField("family", T.StringType()), T.StructField("probability", T.DoubleType()), T.StructField("resemblance", T.DoubleType())]))
     return rows.mapInArrow(tidied(_scan(model)), T.StructType([T.StructField("doc_id", kind), T.StructField("matches", match)]))

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import Scratch, checkpoint, identity, partitions, rows_named, tidied
+from .runtime import Scratch, checkpoint, partitions, row_identity, rows_named, tidied
 from .words import SHINGLE, gram_hashes, mix64, word_hashes
 
 THRESHOLD = 0.8
@@ -268,7 +268,7 @@ def _banded(batches):
 
 def near_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE, bucket_tile: int = BUCKET_TILE, group_tile: int = GROUP_TILE) -> DataFrame:
     """One row per document: doc_id, ident, class_id (smallest doc_id of the class), n_links (other documents linked directly), kept."""
-    ident = identity(*[F.col(f"`{c}`") for c in docs.columns])
+    ident = row_identity(docs)
     rows = docs.select(F.col(doc_id).alias("doc_id"), ident.alias("ident"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     with Scratch(docs.sparkSession) as scratch:

@@ -81,8 +81,8 @@ OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce('0' || source, '1') AS s,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5(concat_ws(chr(1), coalesce(doc_id::VARCHAR, chr(2)), coalesce(text, chr(2)), coalesce(lang, chr(2)),
-                       coalesce(source, chr(2)), coalesce(n_chars::VARCHAR, chr(2)))) AS ident
+         md5(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(text) || ':' || text, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+             || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS ident
   FROM documents
 ), s AS (
   SELECT s, sum(size)::BIGINT AS source_size, 1.0 + (row_number() OVER (ORDER BY s) - 1) % 3 AS weight FROM d GROUP BY s

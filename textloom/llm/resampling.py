@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import Scratch, checkpoint, identity, running_sums, tidied
+from .runtime import Scratch, checkpoint, row_identity, running_sums, tidied
 from .words import mix64, word_hashes
 
 BUCKETS, WINDOW, TARGET_DOCS = 10_000, 128, 50_000
@@ -77,7 +77,7 @@ def _weighted(ratio: np.ndarray):
 def resample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", share: float = SHARE, seed: int = 0) -> DataFrame:
     """One row per document: doc_id, ident, n_grams, log_weight, gumbel_key, rank (1 is best), kept."""
     ratio = fit(docs, labels, doc_id, text)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), identity(*[F.col(f"`{c}`") for c in docs.columns]).alias("ident"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), row_identity(docs).alias("ident"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     with Scratch(docs.sparkSession) as scratch:
         weighted = rows.mapInArrow(tidied(_weighted(ratio)), f"doc_id {kind}, ident string, n_grams long, log_weight double")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,26 +22,53 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 
+#: Largest Arrow batch that an operator's Python workers are sent: rows and bytes.
+BATCH_ROWS, BATCH_BYTES = 4096, 8 << 20
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; set to a temporary one only where the session names none."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of ``spark.checkpoint.dir``. Where none is named, a temporary one on a single machine and an error on a cluster,
+    whose hosts could not read it."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all hosts share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="textloom-"))
     return spark.sparkContext.getCheckpointDir()
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint; Spark removes its files when the frame is no longer used."""
+    """A reliable checkpoint, which outlives the tables it was made of.
+
+    Spark deletes its files once the frame is garbage only where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is true;
+    elsewhere they stay below the shared folder until that is cleaned.
+    """
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+@contextlib.contextmanager
+def configured(spark: SparkSession, **settings: str) -> Iterator[None]:
+    """Session settings (``__`` for a dot) for the length of a block."""
+    names = {name.replace("__", "."): value for name, value in settings.items()}
+    before = {name: spark.conf.get(name, None) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def small_batches(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """Arrow batches of bounded rows and bytes, however long the texts."""
+    return configured(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(BATCH_ROWS), spark__sql__execution__arrow__maxBytesPerBatch=str(BATCH_BYTES))
+
+
 class Scratch:
-    """Tables written to the shared folder and deleted when the block ends.
+    """Tables written to the shared folder and deleted when the block ends; within it Arrow batches are small.
 
     What leaves the block must not read them any more: finish it with ``checkpoint``.
     """
@@ -48,8 +76,10 @@ class Scratch:
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/textloom-{uuid.uuid4().hex}"
+        self.batches = small_batches(spark)
 
     def __enter__(self) -> Scratch:
+        self.batches.__enter__()
         return self
 
     def table(self, df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -62,24 +92,22 @@ class Scratch:
         self._delete(f"{self.root}/{name}")
 
     def __exit__(self, *_: object) -> None:
+        self.batches.__exit__(None, None, None)
         self._delete(self.root)
 
     def _delete(self, folder: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, folder)
 
 
-@contextlib.contextmanager
-def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+def delete(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder on whatever file system holds it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def shuffles_dropped(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
     """Each query's shuffle files go when it ends, so that rounds do not add up on the disks."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    old = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if old is None else spark.conf.set(name, old)
+    return configured(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true")
 
 
 def tidied(run: Callable) -> Callable:
@@ -107,8 +135,35 @@ def parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Rec
 
 
 def identity(*columns: Column) -> Column:
-    """128 bits that two rows share only when they agree in all these columns (nulls included)."""
-    return F.md5(F.concat_ws("\x01", *[F.coalesce(c.cast("string"), F.lit("\x02")) for c in columns]))
+    """128 bits of these atomic columns, equal only where all of them are (nulls included).
+
+    What is hashed can be read back: every value follows its length in bytes and a colon, a null is a dash.
+    """
+
+    def marked(column: Column) -> Column:
+        value = column.cast("string")
+        return F.coalesce(F.concat(F.octet_length(value).cast("string"), F.lit(":"), value), F.lit("-"))
+
+    return F.md5(F.concat(*map(marked, columns)))
+
+
+def column(name: str) -> Column:
+    """The column of exactly this name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def row_identity(docs: DataFrame) -> Column:
+    """``identity`` over all columns of a table, those of nested types as JSON."""
+
+    def atomic(field: T.StructField) -> Column:
+        value = column(field.name)
+        if isinstance(field.dataType, T.TimestampType):  # as a string, an hour that a time zone has twice would be ambiguous
+            return F.unix_micros(value)
+        if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            return F.when(value.isNotNull(), F.to_json(F.struct(value), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}))
+        return value
+
+    return identity(*map(atomic, docs.schema.fields))
 
 
 def free_name(name: str, taken: list[str]) -> str:
@@ -121,9 +176,9 @@ def free_name(name: str, taken: list[str]) -> str:
 def rows_named(docs: DataFrame, idents: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose identity over all columns is in ``idents`` (column ident); one of identical rows."""
     key = free_name("ident", docs.columns)
-    named = docs.withColumn(key, identity(*[F.col(f"`{c}`") for c in docs.columns]))
+    named = docs.withColumn(key, row_identity(docs))
     wanted = idents.select(F.col("ident").alias(key)).distinct()
-    return named.join(wanted, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
+    return named.join(wanted, key, "left_semi").dropDuplicates([key]).select(*map(column, docs.columns))
 
 
 def partitions(spark: SparkSession) -> int:
@@ -134,10 +189,12 @@ def running_sums(scratch: Scratch, df: DataFrame, group: str, order: list[Column
     """Adds ``before``: the sum of ``value`` over the rows of the same ``group`` that come earlier in ``order``.
 
     One range exchange on (group, order) spreads even a single hot group over all tasks; each task sums its own run,
-    and only one row per group and task takes part in the second pass. ``group`` is a non-null string.
+    and only one row per group and task takes part in the second pass. ``group`` is a non-null string, ``value`` a long, or a
+    double of whole values.
     """
     spark = df.sparkSession
-    fields = df.schema.add("task", T.LongType(), False).add("run", T.LongType(), False)
+    kind = np.float64 if isinstance(df.schema[value].dataType, T.DoubleType) else np.int64
+    fields = T.StructType([*df.schema.fields, T.StructField("task", T.LongType(), False), T.StructField("run", df.schema[value].dataType, False)])
 
     def local(batches):
         task, last, total = TaskContext.get().partitionId(), None, 0
@@ -146,7 +203,7 @@ def running_sums(scratch: Scratch, df: DataFrame, group: str, order: list[Column
                 continue
             codes = batch.column(group).dictionary_encode()
             ids, names = np.asarray(codes.indices), codes.dictionary.to_pylist()
-            values = batch.column(value).to_numpy(zero_copy_only=False).astype(np.int64)
+            values = batch.column(value).to_numpy(zero_copy_only=False).astype(kind)
             sums = np.cumsum(values) - values
             first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
             length = np.diff(np.r_[first, len(ids)])
@@ -154,7 +211,7 @@ def running_sums(scratch: Scratch, df: DataFrame, group: str, order: list[Column
             if names[ids[0]] == last:
                 base[0] -= total
             run = sums - np.repeat(base, length)
-            last, total = names[ids[-1]], int(run[-1] + values[-1])
+            last, total = names[ids[-1]], run[-1] + values[-1]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(np.full(len(ids), task, np.int64)), pa.array(run)],
                 names=[*batch.schema.names, "task", "run"],
