@@ -38,6 +38,20 @@ def test_against_brute_force(spark, memory):
     assert got(spark, rows, memory_bytes=memory) == brute(rows)
 
 
+@pytest.mark.parametrize("fan", [2, 5])
+def test_a_text_with_many_leaders_is_merged_in_rounds(spark, fan):
+    rows = [(i, "hot text" if i % 3 else f"text {i % 7}") for i in range(400)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(23)
+    out = ed.exact_dedup(df, local_bytes=0, memory_bytes=2000, fan=fan)
+    assert sorted(repr(tuple(r)) for r in out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()) == brute(rows)
+
+
+def test_full_local_tables_keep_what_repeats():
+    local = ed.LocalLeaders(0, 3000)
+    led = [local.lead(t, ed.digest(t)) for t in [b"hot" if i % 5 == 0 else b"cold%d" % i for i in range(100)]]
+    assert led == [(i, 0 if i % 5 == 0 else i) for i in range(100)] and local.table.held <= 3000 + 300
+
+
 def test_empty_table(spark):
     assert got(spark, []) == []
 
