@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -62,11 +63,36 @@ def test_whole_table(spark, sf):
 
 def test_full_memo_gives_the_same_ids(monkeypatch):
     texts = [f"word{i} and w{i % 7}, it's\nnew W{i}." for i in range(200)]
-    want = [packing.WordCoder(PATH)([t])[0] for t in texts[:5]]
+    want = [ids_of(t)[:-1] for t in texts]
     monkeypatch.setattr(packing, "MEMO", 10)
     small = packing.WordCoder(PATH)
-    assert [small([t])[0] for t in texts[:5]] == want == small(texts)[:5]
-    assert np.frombuffer(want[0], "<u4").tolist() + [0] == ids_of(texts[0])
+    assert [small(pa.array([t]))[0].tolist() for t in texts[:5]] == want[:5]
+    ids, offsets = small(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == want
+
+
+def test_coder_on_odd_texts():
+    r = random.Random(3)
+    odd = ["", " ", "  ", " a", "a ", "a  b", "\0", "a\0b c", "<|endoftext|>", "it's we'll '", "\n a\n", "é ü", "\u3000x", "a\tb", "x\u200b y", "\x85 z", "1 23 4,5", "don't stop", "𝒳 𝒴"]
+    texts = [*odd, *("".join(r.choice(odd + ["word", " ", "\n", "Z."]) for _ in range(r.randint(0, 9))) for _ in range(3000))]
+    coder = packing.WordCoder(PATH)
+    for batch in (texts, [], ["a  b"], ["a b"], texts[::-1]):
+        ids, offsets = coder(pa.array(batch, pa.string()))
+        want = Tokenizer.from_file(PATH).encode_batch(batch, add_special_tokens=False)
+        assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == [w.ids for w in want]
+
+
+def test_runs_of_bytes():
+    texts = pa.array(["a" * n for n in (3, 0, 50, 1, 1, 1, 1, 0, 9, 200, 1)])
+    for rows, most in ((3, 10), (100, 1), (1, 100), (100, 1000)):
+        runs = list(packing.byte_runs(texts, rows, most))
+        assert [k for a, b in runs for k in range(a, b)] == list(range(len(texts)))
+        assert all(b - a <= rows and (b - a == 1 or sum(len(t) for t in texts[a:b].to_pylist()) <= most) for a, b in runs)
+
+
+def test_a_very_long_text_among_others(spark):
+    rows = [(1, "x"), (2, "a word, " * 700_000 + "end"), (3, None), (4, "b" * 100_000)]
+    held(rows, packing.pack(spark.createDataFrame(rows, SCHEMA).coalesce(1), PATH).collect())
 
 
 def test_empty_table(spark):
