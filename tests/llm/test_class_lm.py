@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from textloom.llm import class_lm as lm
@@ -85,19 +86,159 @@ def test_words_beyond_the_first_ones_are_exchanged_too(spark):
     assert few > 1.02 * many
 
 
-def test_places_hold_every_occurrence():
-    r = np.random.default_rng(5)
-    words, ids = [b"w%d" % i for i in range(50)], (r.zipf(1.4, 3000) % 50).astype(np.int32)
-    of = r.integers(0, 5, 50)
-    row = {"chunk": 3, "held": lm._packed(np.zeros(2), "u1"), "lens": lm._packed(np.array([1000, 2000]), "<i4"), "ids": lm._packed(ids, "<i4"), "counts": lm._packed(np.bincount(ids, minlength=50), "<i4")}
-    numbers, state, _ = lm._stream(row, of, 5, True)
-    (batch,) = lm._places(row, words, numbers, state, 5, np.flatnonzero(numbers >= 0), np.zeros(50, np.int64))
-    before, after = lm._around(state, 5)
-    pairs, size = lm._spans(batch.column("around"), "u1")
-    times, counted = lm._spans(batch.column("times"), "<u4")
-    at, turn = 0, 0
-    for w in range(50):
-        have = [tuple(p) for p in pairs[at : at + size[w]].reshape(-1, 2).tolist()]
-        often = times[turn : turn + counted[w]].tolist() or [1] * len(have)
-        at, turn = at + size[w], turn + counted[w]
-        assert Counter(dict(zip(have, often))) == Counter(zip(before[numbers == w].tolist(), after[numbers == w].tolist()))
+def brute_score(rows, classes, exchanged, rounds):
+    """The whole method by loops over tokens: log10 probability of every text."""
+    texts = [(zlib.crc32(b"" if d is None else str(d).encode()) % 7 == 2, (t or "").encode().lower().split()) for d, t in rows]
+    training = [words for held, words in texts if not held]
+    n = Counter(w for words in training for w in words)
+    top = sorted(n, key=lambda w: (-n[w], w))[:exchanged]
+    END, RARE = classes, classes + 1
+
+    def around(of):
+        """Of every word, how often each state is before and after it."""
+        found = {w: (np.zeros(classes + 2), np.zeros(classes + 2)) for w in n}
+        for words in training:
+            states = [END, *(of(w) for w in words), END]
+            for i, w in enumerate(words):
+                found[w][0][states[i]] += 1
+                found[w][1][states[i + 2]] += 1
+        return found
+
+    def pairs(of):
+        moves = np.zeros((classes + 2, classes + 2))
+        for words in training:
+            states = [END, *(of(w) for w in words), END]
+            for a, b in zip(states, states[1:]):
+                moves[a, b] += 1
+        return moves
+
+    def level(moves):
+        x, r, c = (v[v > 0] for v in (moves, moves.sum(1), moves.sum(0)))
+        return ((x * np.log(x)).sum() - (r * np.log(r)).sum() - (c * np.log(c)).sum()) / max(moves.sum(), 1)
+
+    def best(found, words, came, went, states):
+        lb, la = (np.log((m[states] + 0.5) / (m[states] + 0.5).sum(0)) for m in (came, went))
+        return {w: int(np.argmax(found[w][0][states] @ lb + found[w][1][states] @ la)) for w in words}
+
+    now, kept = {w: i if i < classes else RARE for i, w in enumerate(top)}, None
+    everything = list(range(classes + 2))
+    for turn in range(rounds + 1):
+        of = lambda w: now.get(w, RARE)  # noqa: B023, E731
+        moves, found = pairs(of), around(of)
+        if kept and turn > 1 and level(moves) <= kept[0]:
+            break
+        came, went = np.zeros((classes + 2, classes)), np.zeros((classes + 2, classes))
+        for w in top:
+            if now[w] < classes:
+                came[:, now[w]] += found[w][0]
+                went[:, now[w]] += found[w][1]
+        kept = level(moves), now, found, came, went
+        moved = best(found, top, came, went, everything)
+        if moved == now:
+            break
+        now = moved
+    _, now, found, came, went = kept
+    of_all = {**best(found, [w for w in n if w not in now], came, went, everything), **now}
+    kept = None
+    while True:
+        moves, found = pairs(of_all.__getitem__), around(of_all.__getitem__)
+        if kept and level(moves) - kept[0] < lm.GAIN:
+            kept = max(kept, (level(moves), of_all), key=lambda k: k[0])
+            break
+        kept = level(moves), of_all
+        if not n:
+            break
+        of_all = best(found, list(n), moves[:, :classes], moves[:classes].T, everything[: classes + 1])
+    of_all = kept[1]
+    # the model
+    UNSEEN, table, singles = classes + 1, np.zeros((classes + 2, classes + 1)), np.zeros(classes + 2)
+    for words in training:
+        before, once = END, False
+        for w in [*words, None]:
+            state = END if w is None else of_all[w]
+            for context in [before] + [UNSEEN] * once:
+                table[context, state] += 1
+                singles[context] += w is not None and n[w] == 1
+            before, once = state, w is not None and n[w] == 1
+    once, twice = sum(c == 1 for c in n.values()), sum(c == 2 for c in n.values())
+    tokens = sum(n.values()) + len(training)
+    sizes = table[:UNSEEN].sum(0)
+    share = np.array([s + 1 if s or not sizes.sum() else 0 for s in sizes])
+    share = share / share.sum()
+    total = table.sum(1)
+    out = []
+    for _, words in texts:
+        before, sum_ = END, 0.0
+        for w in [*words, None]:
+            u = (singles[before] + lm.SMOOTH_UNSEEN * (once + 0.5) / (tokens + 1)) / (total[before] + lm.SMOOTH_UNSEEN)
+            u = min(u, 0.999999)
+            if w is None or w in n:
+                state = END if w is None else of_all[w]
+                p = (1 - u) * (table[before, state] + lm.SMOOTH_CLASS * share[state]) / (total[before] + lm.SMOOTH_CLASS)
+                p *= 1 if w is None else n[w] / sizes[state]
+                before = state
+            else:
+                p = u / (1 + once * max(once - 1, 0) / (2 * (twice + 1)))
+                before = UNSEEN
+            sum_ += math.log10(p)
+        out.append(sum_)
+    return out
+
+
+@pytest.mark.parametrize(("exchanged", "chunk"), [(30, lm.CHUNK), (30, 25), (1000, 60), (3, 1000)])
+def test_scores_against_brute_force(spark, exchanged, chunk):
+    r = np.random.default_rng(8)
+    rows = [(i, " ".join(f"{'abc'[(j + i) % 3]}{int(x) % 90}" for j, x in enumerate(r.zipf(1.4, int(r.integers(0, 70)))))) for i in range(90)]
+    rows += [(None, None), (300, "a1 never seen b2"), (301, "same Same a1"), (301, "same Same a1")]
+    out = lm.score(spark.createDataFrame(rows, SCHEMA).repartition(3), classes=5, exchanged=exchanged, rounds=3, chunk=chunk).collect()
+    want = sorted((repr(d), round(x, 6)) for (d, _), x in zip(rows, brute_score(rows, 5, exchanged, 3)))
+    assert sorted((repr(x["doc_id"]), round(x["score"], 6)) for x in out) == want
+
+
+def test_an_empty_class_takes_no_probability():
+    r = np.random.default_rng(9)
+    table = r.integers(1, 50, (5, 5))
+    table[:, 1] = table[1] = 0
+    model = lm.ClassModel(table, 3, 1000, 100, 40, 10)
+    known = 10 ** model.moves[:, [0, 2, 3]]
+    assert np.allclose(known.sum(1) + 10 ** (model.unseen + np.log10(1 + 40 * 39 / 22)), 1)
+
+
+def test_a_task_of_too_many_chunks_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(lm, "TURNS", 1)
+
+    class Task:
+        @staticmethod
+        def get():
+            return Task()
+
+        def partitionId(self):
+            return 0
+
+    monkeypatch.setattr(lm, "TaskContext", Task)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array([False] * 9), pa.array(["a b c d"] * 9)], names=["doc_id", "held", "text"])
+    with pytest.raises(ValueError, match="chunks"):
+        list(lm._coded(5, 4)(iter([batch])))
+
+
+def test_long_texts_are_cut_with_context(monkeypatch):
+    class Task:
+        @staticmethod
+        def get():
+            return Task()
+
+        def partitionId(self):
+            return 0
+
+    monkeypatch.setattr(lm, "TaskContext", Task)
+    monkeypatch.setattr(lm, "SLICE", 40)
+    long = " ".join(f"w{i}" for i in range(100))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([False] * 3), pa.array(["x y", long, "z"])], names=["doc_id", "held", "text"])
+    seen = []
+    for row in lm._rows(lm._coded(7, 4)(iter([batch]))):
+        words = lm._strings(row["words"], lm._unpacked(row["wlens"], "<i4")).to_pylist()
+        numbers, _, _, counted = lm._stream(row, np.zeros(len(words), np.int64), 1, True)
+        seen += [b"END" if k < 0 else words[k] for k, c in zip(numbers, counted) if c]
+        assert sum(counted) <= 8 and row["head"] + row["tail"] == (~counted).sum()
+        assert lm._unpacked(row["counts"], "<i4").sum() == sum(counted & (numbers >= 0))
+    assert seen == [b"x", b"y", b"END", *(b"w%d" % i for i in range(100)), b"END", b"z", b"END"]
