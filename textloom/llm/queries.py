@@ -59,7 +59,9 @@ def op8_class_bigrams(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
-    return resampling.resample(table(spark, folder, "documents"), table(spark, folder, "labels")).drop("ident")
+    """The sample is as large a part of all documents as the labels call good of theirs."""
+    labels = table(spark, folder, "labels")
+    return resampling.resample(table(spark, folder, "documents"), labels, resampling.good_share(labels)).drop("ident")
 
 
 def op10_binary_packing(spark: SparkSession, folder: str) -> DataFrame:

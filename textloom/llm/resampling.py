@@ -1,15 +1,17 @@
 """Quality by importance resampling: the ratio of two hashed n-gram models, sampled by Gumbel top-k.
 
 The target model counts the hashed words and word pairs of documents labelled as good, the raw model those of all
-documents. A document's weight is its sum of log ratios, brought to ``window`` n-grams where it has more (as if cut into
-windows of that many and judged by their mean), since otherwise length alone would decide. Adding Gumbel noise to the
-weights and keeping the largest is sampling without replacement in proportion to the exponential of the weights.
+documents. A document's weight is its sum of log ratios, the logarithm of how much likelier the target model makes it. Adding
+Gumbel noise to the weights and keeping the largest is sampling without replacement in proportion to the exponential of the
+weights. With ``temper`` the weight of a document of more n-grams is brought to that many, a tempered sum and no longer the
+ratio of the models; it is off unless asked for.
 
 The target model is fitted on at most ``TARGET_DOCS`` labelled documents, chosen by hash; that bound is also what is
 broadcast. All else covers all rows. Ranks come from distributed prefix sums.
 
-Defined results: a null or empty text has no n-gram and weight 0; a null doc_id is never labelled; identical rows differ
-in rank only; without labels all weights are 0; an empty table gives no row.
+Defined results: a null or empty text has no n-gram and weight 0; a null doc_id is never labelled; identical rows have one key
+and differ in rank only (ties go by the row's identity, then by where it is read); a text of any length is read whole; without
+labels all weights are 0; an empty table gives no row. Other columns only take part in the row's identity, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,9 +24,7 @@ from pyspark.sql import functions as F
 from .runtime import Scratch, checkpoint, row_identity, running_sums, tidied
 from .words import mix64, word_hashes
 
-BUCKETS, WINDOW, TARGET_DOCS = 10_000, 128, 50_000
-#: Share of all documents that a sample holds; the labels call 0.86 of theirs good.
-SHARE = 0.85
+BUCKETS, TARGET_DOCS = 10_000, 50_000
 
 
 def _features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -61,26 +61,34 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, target_docs:
     return np.log(target / target.sum()) - np.log(raw / raw.sum()) if target.sum() > BUCKETS else np.zeros(BUCKETS)
 
 
-def _weighted(ratio: np.ndarray):
+def good_share(labels: DataFrame) -> float:
+    """The share of labels that call a document good; 1 without labels."""
+    found = labels.where("quality IS NOT NULL").agg(F.avg((F.col("quality") == 1).cast("int"))).first()[0]
+    return 1.0 if found is None else found
+
+
+def _weighted(ratio: np.ndarray, temper: int | None):
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 bucket, row = _features(part.column("text"))
                 n = np.bincount(row, minlength=part.num_rows)
-                weight = np.bincount(row, ratio[bucket], part.num_rows) * np.minimum(1, WINDOW / np.maximum(n, 1))
+                weight = np.bincount(row, ratio[bucket], part.num_rows)
+                if temper:
+                    weight *= np.minimum(1, temper / np.maximum(n, 1))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ident"), pa.array(n.astype(np.int64)), pa.array(weight)], names=["doc_id", "ident", "n_grams", "log_weight"])
 
     return run
 
 
-def resample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", share: float = SHARE, seed: int = 0) -> DataFrame:
-    """One row per document: doc_id, ident, n_grams, log_weight, gumbel_key, rank (1 is best), kept."""
+def resample(docs: DataFrame, labels: DataFrame, share: float, doc_id: str = "doc_id", text: str = "text", temper: int | None = None, seed: int = 0) -> DataFrame:
+    """One row per document: doc_id, ident, n_grams, log_weight, gumbel_key, rank (1 is best), kept (``share`` of all rows)."""
     ratio = fit(docs, labels, doc_id, text)
     rows = docs.select(F.col(doc_id).alias("doc_id"), row_identity(docs).alias("ident"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     with Scratch(docs.sparkSession) as scratch:
-        weighted = rows.mapInArrow(tidied(_weighted(ratio)), f"doc_id {kind}, ident string, n_grams long, log_weight double")
+        weighted = rows.mapInArrow(tidied(_weighted(ratio, temper)), f"doc_id {kind}, ident string, n_grams long, log_weight double")
         uniform = (F.pmod(F.xxhash64("ident", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
         keyed = weighted.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform)))
         keyed = keyed.withColumn("salt", F.monotonically_increasing_id()).withColumn("one", F.lit(1).cast("long")).withColumn("all", F.lit(""))
