@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: White space: what Unicode's property says and the four information separators.
 BLANK = r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+#: White space within a line: ``BLANK`` without the ends of lines.
+INLINE = r"[\x09\x1F\x20\xA0\u1680\u2000-\u200A\u202F\u205F\u3000]"
 #: Ends of lines.
 LINE_END = r"\r\n|[\x0A-\x0D\x1C-\x1E\x85\u2028\u2029]"
 PREVIEW_CHARS = 200
@@ -27,8 +29,10 @@ def collapsed(text: Column) -> Column:
 
 
 def normal_text(text: Column) -> Column:
-    """Every line with single blanks, blank lines dropped."""
-    return F.array_join(F.filter(F.transform(lines(text), collapsed), lambda line: line != ""), "\n")
+    """Every line with single blanks, blank lines dropped. Three passes over the whole text, each linear in its length."""
+    single = F.regexp_replace(text, f"{INLINE}+", " ")
+    single = F.regexp_replace(single, r"(?: ?[\x0A-\x0D\x1C-\x1E\x85\u2028\u2029])+ ?", "\n")
+    return F.regexp_replace(single, r"^[ \n]|[ \n]\z", "")
 
 
 def normal_table(text: Column) -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..options import BoundaryOptions, ChunkOptions
+from . import kernel
 
 DECISION = "struct<merge:boolean,strategy:string,similarity_score:double>"
 
@@ -63,6 +66,38 @@ def decide_with_model(pairs: DataFrame, passes: Column, asks: Callable[[DataFram
     return pairs.join(asked, keys, "left")
 
 
+FOLDED = "doc_id {kind}, block_id long, group_id long, merge boolean, strategy string, similarity_score double, merge_strategy string, merge_score double"
+
+
+def fold(blocks: DataFrame, options: ChunkOptions = ChunkOptions(), bounds: BoundaryOptions = BoundaryOptions(), count: kernel.Counter = kernel.estimate, scorer: kernel.Scorer | None = None, decider: kernel.Decider | None = None) -> DataFrame:
+    """Neighbours joined from the left, later decisions seeing what was joined, of (doc_id, block_id, node_type, text, path).
+
+    One row a block: its group (from 0), the decision about it (null for a document's first) and what the group's nodes carry: the
+    strategy of its last merge and the last score of one. One exchange on the document.
+    """
+    kind = blocks.schema["doc_id"].dataType.simpleString()
+    block = F.struct(F.col("block_id").cast("long").alias("block_id"), "node_type", "text", F.coalesce("path", F.lit("")).alias("path"))
+    docs = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(block)).alias("blocks"))
+    names = ["block_id", "group_id", "merge", "strategy", "similarity_score", "merge_strategy", "merge_score"]
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.float64(), pa.string(), pa.float64()]
+
+    def rows(found: list[dict]) -> list[tuple]:
+        one = [[kernel.Node(b["node_type"], b["text"] or "", path=(b["path"],) if b["path"] else ())] for b in found]
+        done = kernel.refined(one, options, bounds, count, scorer, decider)
+        decisions = [(None, None, None), *done.decisions]
+        groups = [k - 1 for k in itertools.accumulate((not merge for merge, *_ in decisions), initial=0)][1:]
+        return [(b["block_id"], g, *d, done.blocks[g][0].strategy, done.blocks[g][0].score) for b, g, d in zip(found, groups, decisions)]
+
+    def run(batches):
+        for batch in batches:
+            for i, found in enumerate(batch.column("blocks").to_pylist()):
+                columns = list(zip(*rows(found)))
+                ids = batch.column("doc_id").take(pa.array([i] * len(found), pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(columns, types))], names=["doc_id", *names])
+
+    return docs.mapInArrow(run, FOLDED.format(kind=kind))
+
+
 def decision_counts(decisions: DataFrame) -> DataFrame:
     """strategy, result (merge or keep), n."""
     result = F.when(F.col("merge"), "merge").otherwise("keep")

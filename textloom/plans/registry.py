@@ -163,8 +163,9 @@ def serialize_blocks(docs):
 
 @query
 def separator_split(spark, folder):
-    parts = split.separator_parts(tx.normal_text(F.col("text")), ChunkOptions().max_tokens)
-    return table(spark, folder, "documents").select("doc_id", long(F.size(parts)).alias("n_spans"), F.md5(F.array_join(parts, "\x1f")).alias("spans_hash"))
+    rows = table(spark, folder, "documents").select("doc_id", tx.normal_text(F.col("text")).alias("text"))
+    s = split.split_spans(rows, "text", stage="separate").select("doc_id", F.transform("spans", lambda x: x["text"]).alias("t"))
+    return s.select("doc_id", long(F.size("t")).alias("n_spans"), F.md5(F.array_join("t", "\x1f")).alias("spans_hash"))
 
 
 @query

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import ipaddress
+import os
 import socket
 import urllib.request
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
 from urllib.parse import urlsplit
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +32,7 @@ CONTENT_TYPES = {
 }
 SUFFIXES = (*CONTENT_TYPES, *IMAGES)
 #: The status that each kind of error is answered with; others are 500.
-STATUS = {"file_too_large": 413, "processing_timeout": 504, "ocr_required": 422, "not_found": 404, "unsupported_file_type": 400, "invalid_value": 400, "download_error": 502}
+STATUS = {"file_too_large": 413, "processing_timeout": 504, "ocr_required": 422, "not_found": 404, "unsupported_file_type": 400, "invalid_value": 400, "download_error": 502, "missing_reader": 500, "parse_error": 500}
 MEGABYTE = 1 << 20
 
 
@@ -90,9 +94,10 @@ def host_allowed(url: Column, allowed: str) -> Column:
 
 
 def url_error(url: Column, allowed: str = "") -> Column:
-    """Null, or why a URL is not fetched: its scheme, its host, the allow-list. Resolution is checked when it is fetched."""
+    """Null, or why a URL is not fetched: its scheme, its host, the allow-list, a private address. What a name resolves to is
+    checked when it is fetched."""
     scheme, host = F.lower(F.try_parse_url(url, F.lit("PROTOCOL"))), url_host(url)
-    return F.when(~F.coalesce(scheme.isin("http", "https"), F.lit(False)), "scheme").when(F.coalesce(host, F.lit("")) == "", "host").when(~host_allowed(url, allowed), "not_allowed")
+    return F.when(~F.coalesce(scheme.isin("http", "https"), F.lit(False)), "scheme").when(F.coalesce(host, F.lit("")) == "", "host").when(~host_allowed(url, allowed), "not_allowed").when(barred_literal(host), "private")
 
 
 def content_type_ok(filename: Column, content_type: Column) -> Column:
@@ -105,6 +110,21 @@ def content_type_ok(filename: Column, content_type: Column) -> Column:
     return (F.coalesce(content_type, F.lit("")) != "") & F.coalesce(listed, F.lit(True))
 
 
+#: The IPv4 networks that are private, loopback, link-local, multicast, reserved or unspecified, and what is not
+#: in them all the same.
+BARRED_NETWORKS = ("0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4")
+OPEN_ADDRESSES = ("192.0.0.9", "192.0.0.10")
+
+
+def barred_literal(host: Column) -> Column:
+    """Whether a host is written as an IPv4 address that is not fetched; ``barred_address`` tells it of any address, in a task."""
+    parts = F.split(host, r"\.")
+    number = sum((F.element_at(parts, k + 1).cast("long") * (1 << 8 * (3 - k)) for k in range(4)), F.lit(0))
+    networks = [ipaddress.ip_network(n) for n in BARRED_NETWORKS]
+    within = reduce(or_, [number.between(int(n[0]), int(n[-1])) for n in networks])
+    return F.when(host.rlike(r"^(?:\d{1,3}\.){3}\d{1,3}$"), within & ~host.isin(*OPEN_ADDRESSES)).otherwise(F.coalesce(host == "localhost", F.lit(False)))
+
+
 def barred_address(address: str) -> bool:
     ip = ipaddress.ip_address(address)
     return any((ip.is_private, ip.is_loopback, ip.is_link_local, ip.is_multicast, ip.is_reserved, ip.is_unspecified))
@@ -189,10 +209,40 @@ def empty_documents(docs: DataFrame, nodes: DataFrame, filename: str = "filename
     return empty.select(keys, F.when(scanned, "ocr_required").otherwise("invalid_value").alias("error"))
 
 
-def fetched(urls: Iterator[str], **options) -> Iterator[tuple[str, bytes | None, str | None]]:
-    """(url, content, error) one by one, for use inside a task."""
-    for url in urls:
-        try:
-            yield url, guarded_fetch(url, lambda _: True, **options), None
-        except DownloadError as error:
-            yield url, None, str(error)
+def served_as(filename: str, content_type: str | None) -> bool:
+    """``content_type_ok`` for one answer, inside a task."""
+    end = os.path.splitext(filename)[1].lower()
+    kind = (content_type or "").split(";")[0].strip().lower()
+    if not kind:
+        return False
+    return kind.startswith("image/") or kind == OCTETS if end in IMAGES else kind in CONTENT_TYPES.get(end, (kind,))
+
+
+def fetched(urls: DataFrame, options: IngestOptions = IngestOptions(), **guards) -> DataFrame:
+    """path, filename, length, content, error of (document_url, filename): URL entry as a plan, each fetched by the task that has it.
+
+    Types that can't be parsed and URLs that may not be fetched are not asked for; an answer of another type is an error.
+    """
+    kind = F.when(~supported(F.col("filename")), "unsupported_file_type").when(url_error(F.col("document_url"), options.allowed_hosts).isNotNull(), "download_error")
+    rows = urls.select("document_url", "filename", kind.alias("refused"))
+
+    def run(batches):
+        for batch in batches:
+            contents, errors = [], []
+            for url, name, refused in zip(*(batch.column(c).to_pylist() for c in ("document_url", "filename", "refused"))):
+                content, error = None, refused
+                if refused is None:
+                    try:
+                        content = guarded_fetch(url, lambda kind: served_as(name, kind), options, **guards)  # noqa: B023
+                        error = "file_too_large" if len(content) > options.max_upload_mb * MEGABYTE else None
+                    except DownloadError:
+                        error = "download_error"
+                contents.append(None if error else content)
+                errors.append(error)
+            lengths = [None if c is None else len(c) for c in contents]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("document_url"), batch.column("filename"), pa.array(lengths, pa.int64()), pa.array(contents, pa.binary()), pa.array(errors, pa.string())],
+                names=["path", "filename", "length", "content", "error"],
+            )
+
+    return rows.mapInArrow(run, "path string, filename string, length long, content binary, error string")

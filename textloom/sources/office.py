@@ -17,8 +17,10 @@ from xml.etree import ElementTree
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import strip
+from ..operators import kernel
 
 NODES = "doc_id {kind}, node_pos int, node_type string, level int, text string, sheet_name string, parser_strategy string"
 CELL_JOINER = " | "
@@ -173,21 +175,104 @@ def pdf_page_texts(content: bytes) -> Iterator[tuple[int, str]]:
         yield number, page.extract_text() or ""
 
 
+def pdf_tables(content: bytes) -> Iterator[tuple]:
+    """(page_no, x0, y0, x1, y1, text) of the tables that the layout library finds; a page it fails on has none. Needs PyMuPDF."""
+    try:
+        import fitz
+    except ImportError as error:
+        raise MissingReader("page layout needs PyMuPDF") from error
+    with fitz.open(stream=content, filetype="pdf") as file:
+        for number, page in enumerate(file, 1):
+            try:
+                found = [(t.bbox, t.extract() or []) for t in page.find_tables().tables]
+            except Exception:  # as a page without tables
+                continue
+            for box, rows in found:
+                text = "\n".join(t for t in (row_text(["" if c is None else str(c) for c in row]) for row in rows) if t)
+                if text:
+                    yield (number, *box, text)
+
+
+def pdf_images(content: bytes) -> Iterator[tuple[int, bytes]]:
+    """(page_no, PNG) of every page at twice its size, for a vision model. Needs PyMuPDF."""
+    try:
+        import fitz
+    except ImportError as error:
+        raise MissingReader("rendering pages needs PyMuPDF") from error
+    with fitz.open(stream=content, filetype="pdf") as file:
+        for number, page in enumerate(file, 1):
+            yield number, page.get_pixmap(matrix=fitz.Matrix(2, 2)).tobytes("png")
+
+
+#: What a block of a page is: text, an image, a table, or a page's whole text where there is no layout.
+TEXT, IMAGE, TABLE, PLAIN = 0, 1, 2, 3
+
+
+def pdf_pages(content: bytes) -> Iterator[tuple]:
+    """Blocks and tables where there is a layout library, else whole page texts: (page_no, block_no, x0, y0, x1, y1, text, page_width,
+    page_height, block_type)."""
+    try:
+        blocks = list(pdf_blocks(content))
+        none = (None, None)
+        yield from blocks
+        yield from ((number, k, *box, text, *none, TABLE) for k, (number, *box, text) in enumerate(pdf_tables(content)))
+    except MissingReader:
+        yield from ((number, 0, None, None, None, None, text, None, None, PLAIN) for number, text in pdf_page_texts(content))
+
+
+def text_nodes(content: bytes) -> Iterator[RawNode]:
+    """Text and markdown files; malformed bytes are dropped, and U+FFFD with them."""
+    text = content.decode("utf-8", "replace").replace("\ufffd", "")
+    return ((n.kind, n.level, n.text, None, "text_lines") for n in kernel.markdown_nodes(text))
+
+
+def doc_lines(content: bytes) -> Iterator[RawNode]:
+    """The text of a legacy Word file as one node, for ``lines.office_nodes``."""
+    yield OFFICE_TEXT, 0, doc_text(content), None, "antiword"
+
+
+OFFICE_TEXT = "office_text"
+READERS = {"text": text_nodes, "docx": docx_nodes, "xlsx": xlsx_nodes, "xls": xls_nodes, "doc": doc_lines}
+
+
+def error_kind(error: Exception) -> str:
+    return "missing_reader" if isinstance(error, MissingReader) else "parse_error"
+
+
+def _arrow_rows(ids: pa.Array, place: int, rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(types)
+    return pa.RecordBatch.from_arrays([ids.take(pa.array([place] * len(rows), pa.int64())), *(pa.array(c, t) for c, t in zip(columns, types))], names=["doc_id", *names])
+
+
+def read_rows(files: DataFrame, read: Callable[[str, bytes], Iterator[tuple]], fields: str) -> DataFrame:
+    """One Arrow pass over (doc_id, parser, content): the rows that ``read`` gives for each file, or one row with its error."""
+    kind, n = files.schema["doc_id"].dataType.simpleString(), fields.count(",") + 1
+    schema = files.sparkSession.createDataFrame([], f"{fields}, error string").schema
+    names, types = schema.names, to_arrow_schema(schema).types
+
+    def run(batches):
+        for batch in batches:
+            for i, (parser, content) in enumerate(zip(batch.column("parser").to_pylist(), batch.column("content").to_pylist())):
+                try:
+                    rows = [(*row, None) for row in read(parser, content or b"")]
+                except Exception as error:  # reported in the file's row
+                    rows = [(*[None] * n, error_kind(error))]
+                yield _arrow_rows(batch.column("doc_id"), i, rows, names, types)
+
+    return files.select("doc_id", "parser", "content").mapInArrow(run, f"doc_id {kind}, {fields}, error string")
+
+
 def parsed(files: DataFrame, reader: Callable[[bytes], Iterator[RawNode]]) -> DataFrame:
-    """The nodes of (doc_id, content), by one of the readers above."""
+    """The nodes of (doc_id, content), by one of the readers above; what a reader raises is raised."""
     kind = files.schema["doc_id"].dataType
     names = ["node_pos", "node_type", "level", "text", "sheet_name", "parser_strategy"]
+    types = [pa.int32(), pa.string(), pa.int32(), *[pa.string()] * 3]
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                rows = list(reader(batch.column("content")[i].as_py() or b""))
-                ids = batch.column("doc_id").take(pa.array([i] * len(rows), pa.int64()))
-                types, levels, texts, sheets, ways = zip(*rows) if rows else ([],) * 5
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(range(len(rows)), pa.int32()), pa.array(types, pa.string()), pa.array(levels, pa.int32()), pa.array(texts, pa.string()), pa.array(sheets, pa.string()), pa.array(ways, pa.string())],
-                    names=["doc_id", *names],
-                )
+                rows = [(k, *node) for k, node in enumerate(reader(batch.column("content")[i].as_py() or b""))]
+                yield _arrow_rows(batch.column("doc_id"), i, rows, names, types)
 
     return files.select("doc_id", "content").mapInArrow(run, NODES.format(kind=kind.simpleString()))
 

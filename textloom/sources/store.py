@@ -1,11 +1,12 @@
 """The chunk store: two Parquet tables, written by staging, read by key with pushed filters.
 
-Arrays are native; ``chunk_index`` counts from 1; ids are hashes of what they name, so writing again gives the same ids.
+Saving a document again replaces it. Arrays are native; ``chunk_index`` counts from 1; ids are hashes of what they name, so writing again gives the same ids.
 Chunks are sorted by document within files, so that a document's row groups are few and found by statistics.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 from dataclasses import dataclass
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 DOCUMENTS = "document_id string, filename string, status string, total_chunks int, created_at timestamp, updated_at timestamp"
 CHUNKS = "chunk_id string, document_id string, chunk_index int, chunk_type string, section_path array<string>, page_no array<int>, preview_text string, full_text string, created_at timestamp"
+HEADER = ("filename", "status", "total_chunks")
 MOST_ROWS, PAGE_SIZE = 100, 20
 
 
@@ -62,7 +64,7 @@ class ChunkStore:
 
         Readers see a batch only when both tables are complete: the marker comes last.
         """
-        batch = f"{self.path}/{uuid.uuid4().hex}"
+        batch = f"{self.path}/{time.time_ns():020d}-{uuid.uuid4().hex}"
         now = F.current_timestamp()
         rows = chunks.select(
             chunk_id(F.col("document_id"), F.col("chunk_index")).alias("chunk_id"), "document_id", F.col("chunk_index").cast("int"), "chunk_type",
@@ -70,8 +72,9 @@ class ChunkStore:
         )
         rows.repartition("document_id").sortWithinPartitions("document_id", "chunk_index").write.parquet(f"{batch}/chunks")
         counts = self.spark.read.schema(CHUNKS).parquet(f"{batch}/chunks").groupBy("document_id").agg(F.count("*").cast("int").alias("n"))
+        status = F.when(F.col("n").isNull(), "failed").otherwise("completed")
         docs = filenames.join(counts, "document_id", "left").select(
-            "document_id", "filename", F.lit("completed").alias("status"), F.coalesce("n", F.lit(0)).alias("total_chunks"), now.alias("created_at"), now.alias("updated_at")
+            "document_id", "filename", status.alias("status"), F.coalesce("n", F.lit(0)).alias("total_chunks"), now.alias("created_at"), now.alias("updated_at")
         )
         docs.sortWithinPartitions("document_id").write.parquet(f"{batch}/documents")
         jvm, fs = self._fs()
@@ -80,14 +83,25 @@ class ChunkStore:
     def _read(self, name: str, schema: str) -> DataFrame:
         batches = self._batches()
         if not batches:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{b}/{name}" for b in batches])
+            return self.spark.createDataFrame([], f"{schema}, batch string")
+        batch = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -3)
+        return self.spark.read.schema(schema).parquet(*[f"{b}/{name}" for b in batches]).withColumn("batch", batch)
+
+    def _latest(self) -> DataFrame:
+        """Of every document the last write that was finished: saving it again replaces it."""
+        return self._read("documents", DOCUMENTS).groupBy("document_id").agg(F.max("batch").alias("batch"))
+
+    def _current(self, name: str, schema: str) -> DataFrame:
+        rows = self._read(name, schema)
+        if len(self._batches()) > 1:
+            rows = rows.join(self._latest(), ["document_id", "batch"], "left_semi")
+        return rows.drop("batch")
 
     def documents(self) -> DataFrame:
-        return self._read("documents", DOCUMENTS)
+        return self._current("documents", DOCUMENTS)
 
     def chunks(self) -> DataFrame:
-        return self._read("chunks", CHUNKS)
+        return self._current("chunks", CHUNKS)
 
     def document(self, key: str) -> DataFrame:
         return self.documents().where(F.col("document_id") == key)
@@ -98,12 +112,17 @@ class ChunkStore:
         return found.withColumn("section_path", F.coalesce("section_path", F.array().cast("array<string>"))).withColumn("page_no", F.coalesce("page_no", F.array().cast("array<int>")))
 
     def page(self, key: str, page: int = 1, page_size: int = PAGE_SIZE) -> DataFrame | None:
-        """One page of a document's chunks without their full texts; None for an unknown document."""
+        """One page of a document's chunks without their full texts, each with the document's header; None for an unknown document."""
         skip, take = page_bounds(page, page_size)
         if self.document(key).isEmpty():
             return None
-        rows = self.chunks().where(F.col("document_id") == key).drop("full_text")
-        return rows.orderBy("chunk_index").offset(skip).limit(take)
+        rows = self.chunks().where(F.col("document_id") == key).drop("full_text").orderBy("chunk_index").offset(skip).limit(take)
+        return rows.join(F.broadcast(self.document(key).select("document_id", *HEADER)), "document_id").orderBy("chunk_index")
+
+    def pages(self, page: int = 1, page_size: int = PAGE_SIZE) -> DataFrame:
+        """That page of every document: its header, and the chunks where the page has any."""
+        rows = paged(self.chunks().drop("full_text"), page, page_size)
+        return self.documents().select("document_id", *HEADER).join(rows, "document_id", "left")
 
     def clear(self) -> None:
         jvm, fs = self._fs()
