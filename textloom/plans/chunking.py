@@ -58,6 +58,23 @@ def chunk_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", opt
     return _finished(rows.mapInArrow(run, CHUNKS.format(kind=rows.schema["doc_id"].dataType.simpleString())))
 
 
+LOCATED = "doc_id {kind}, node_pos int, node_type string, level int, text string, start int, `end` int"
+
+
+def located_nodes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The nodes of text or markdown documents with where they begin and end in the text. No exchange."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    names, types = ["node_pos", "node_type", "level", "text", "start", "end"], [pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32()]
+
+    def run(batches):
+        for batch in batches:
+            found = [(row, k, n.kind, n.level, n.text, n.start, n.end) for row, t in enumerate(batch.column("text").to_pylist()) for k, n in enumerate(kernel.markdown_nodes(t or ""))]
+            source, *columns = zip(*found) if found else ([],) * 7
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(source, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, types))], names=["doc_id", *names])
+
+    return rows.mapInArrow(run, LOCATED.format(kind=rows.schema["doc_id"].dataType.simpleString()))
+
+
 def chunk_nodes(nodes: DataFrame, options: ChunkOptions = ChunkOptions(), bounds: BoundaryOptions = BoundaryOptions(), count: kernel.Counter = kernel.estimate, scorer: kernel.Scorer | None = None, decider: kernel.Decider | None = None) -> DataFrame:
     """Chunks of parsed nodes (doc_id, node_pos, node_type, level, text, source_page): one exchange brings documents together."""
     kind = nodes.schema["doc_id"].dataType.simpleString()

@@ -464,8 +464,12 @@ def request_metrics(spark, folder):
 
 
 def queries() -> dict[str, Query]:
+    from . import cases  # noqa: F401, registers its own
+
     return dict(FOUND)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in oracle.SQL.items() if k in FOUND}
+    from . import oracle_cases
+
+    return {k: v for k, v in (oracle.SQL | oracle_cases.SQL).items() if k in queries()}

@@ -97,6 +97,22 @@ def counted_tokens(rows: DataFrame, text: str, counter: Callable[[str], int], ou
     return rows.join(distinct, text, "left")
 
 
+def judged(pairs: DataFrame, left: str, right: str, scorer: Callable[[str, str], float], decider: Callable[[str, str], bool]) -> DataFrame:
+    """Adds the score of two texts (null where the service fails) and whether the decider says merge."""
+
+    @F.pandas_udf("struct<score:double,says_merge:boolean>")
+    def judge(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        scores = []
+        for x, y in zip(a, b):
+            try:
+                scores.append(scorer(x, y))
+            except Exception:  # a strategy of its own, see boundary.decision
+                scores.append(None)
+        return pd.DataFrame({"score": pd.Series(scores, dtype="float64"), "says_merge": [decider(x, y) for x, y in zip(a, b)]})
+
+    return pairs.withColumn("judged", judge(left, right)).select("*", "judged.score", "judged.says_merge").drop("judged")
+
+
 def cosine(a: list[float], b: list[float]) -> float:
     norms = math.hypot(*a) * math.hypot(*b)
     if not a or len(a) != len(b) or norms == 0:
