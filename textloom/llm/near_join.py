@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import classed, components
 from .runtime import Scratch, checkpoint, partitions, row_identity, rows_named, tidied
 from .words import SHINGLE, gram_hashes, mix64, word_hashes
 
@@ -293,10 +293,8 @@ def near_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thres
         classes = components(scratch, found.select(F.col("nid").alias("a"), F.col("other").alias("b")), "classes")
         # back to documents
         links = found.groupBy("nid").agg(F.sum("links").alias("links"))
-        own = nodes.select("node", "nid", "mult", "first").join(links, "nid", "left").join(classes.withColumnRenamed("node", "nid"), "nid", "left")
-        own = own.select("node", "mult", "first", "links", F.coalesce("root", "nid").alias("class"))
-        heads = own.groupBy("class").agg(F.min("first").alias("head"))
-        own = own.join(heads, "class").select("node", "head", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"))
+        own = nodes.select("node", "nid", "mult", "first").join(links, "nid", "left")
+        own = classed(scratch, own, classes, "own").select("node", "head", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"))
         out = signed.select("doc_id", "ident", "node").join(own, "node", "left")
         return checkpoint(out.select(
             F.col("doc_id"), "ident",

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import classed, components
 from .near_join import dealt, joined_labels, runs, tile_sides, tiled, unite
 from .runtime import Scratch, checkpoint, tidied
 
@@ -229,10 +229,8 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embe
         found = scratch.table(dealt(met, "leaf").mapInArrow(tidied(_compared(threshold)), "nid long, links long, other long"), "links")
         classes = components(scratch, found.select(F.col("nid").alias("a"), F.col("other").alias("b")), "classes")
         links = found.groupBy("nid").agg(F.sum("links").alias("links"))
-        own = nodes.select("node", "nid", "mult", "first").join(links, "nid", "left").join(classes.withColumnRenamed("node", "nid"), "nid", "left")
-        own = own.select("node", "mult", "first", "links", F.coalesce("root", "nid").alias("class"))
-        heads = own.groupBy("class").agg(F.min("first").alias("head"))
-        own = own.join(heads, "class").select("node", "head", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"))
+        own = nodes.select("node", "nid", "mult", "first").join(links, "nid", "left")
+        own = classed(scratch, own, classes, "own").select("node", "head", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"))
         out = noded.select("vec_id", "node").join(own, "node", "left")
         component = F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("head"))
         return checkpoint(out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept")))
