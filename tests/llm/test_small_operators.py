@@ -85,15 +85,47 @@ def test_weight_is_the_ratio_of_the_models(spark):
         np.add.at(raw, bucket(t), 1)
     np.add.at(target, bucket("a b a"), 1)
     assert np.allclose(ratio, np.log(target / target.sum()) - np.log(raw / raw.sum()))
-    out = {r["doc_id"]: r["log_weight"] for r in resampling.resample(docs, labels).collect()}
+    out = {r["doc_id"]: r["log_weight"] for r in resampling.resample(docs, labels, 1.0).collect()}
     assert np.isclose(out[2], ratio[bucket("b c")].sum())
 
 
 def test_resampling_without_labels_or_rows(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int")
-    assert {r["log_weight"] for r in resampling.resample(docs, labels).collect()} == {0.0}
-    assert resampling.resample(docs.limit(0), labels).count() == 0
+    assert {r["log_weight"] for r in resampling.resample(docs, labels, 0.5).collect()} == {0.0}
+    assert resampling.resample(docs.limit(0), labels, 0.5).count() == 0
+    assert resampling.good_share(labels) == 1.0
+
+
+def test_long_texts_against_brute_force(spark):
+    r = np.random.default_rng(5)
+    rows = [(i, " ".join(f"{'ab'[i % 2]}{int(x) % 40}" for x in r.zipf(1.4, int(r.integers(1, 900))))) for i in range(60)] + [(None, None), (60, "")]
+    docs = spark.createDataFrame([(*x, "z") for x in rows], "doc_id long, text string, log_weight string").repartition(3)
+    labels = spark.createDataFrame([(i, (i + 1) % 2, None) for i in range(40)] + [(41, None, None)], "doc_id long, quality int, text string")
+
+    def grams(text):
+        own = words.word_hashes(pa.array([text or ""]))[0]
+        pairs = words.mix64(own[:-1] * np.uint64(3) + own[1:]).tolist() if len(own) else []
+        return [int(h) % resampling.BUCKETS for h in [*own, *pairs]]
+
+    raw, target = np.ones(resampling.BUCKETS), np.ones(resampling.BUCKETS)
+    for i, text in rows:
+        for g in grams(text):
+            raw[g] += 1
+            target[g] += i is not None and i < 40 and i % 2 == 0
+    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    share = resampling.good_share(labels)
+    assert share == 0.5
+    out = {x["doc_id"]: x for x in resampling.resample(docs, labels, share).collect()}
+    assert max(x["n_grams"] for x in out.values()) > 1000
+    for i, text in rows:
+        own = grams(text)
+        assert out[i]["n_grams"] == len(own) and np.isclose(out[i]["log_weight"], ratio[own].sum())
+    ordered = sorted(out.values(), key=lambda x: -x["gumbel_key"])
+    assert [x["rank"] for x in ordered] == list(range(1, len(rows) + 1)) and [x["kept"] for x in ordered] == [k < 31 for k in range(len(rows))]
+    tempered = {x["doc_id"]: x for x in resampling.resample(docs, labels, share, temper=100).collect()}
+    for i in out:
+        assert np.isclose(tempered[i]["log_weight"], out[i]["log_weight"] * min(1, 100 / max(out[i]["n_grams"], 1)))
 
 
 # -- licences ---------------------------------------------------------------------------------------------------------
@@ -101,8 +133,8 @@ def test_resampling_without_labels_or_rows(spark):
 
 def test_licence_scan(spark, sf):
     prose = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").limit(60).collect()]
-    mit, apache = licences.TEMPLATES["MIT"][1], "Licensed under the Apache License, Version 2.0."
-    rows = [(i, t) for i, t in enumerate(prose) if not any(k in t for k in ("License", "CC BY"))]
+    mit, apache = licences.BODIES["MIT"][0], "Licensed under the Apache License, Version 2.0."
+    rows = [(i, t) for i, t in enumerate(prose) if not any(k in t for k in ("License", "CC BY", "rights reserved"))]
     rows += [(100, f"{prose[0]}\n{apache}"), (101, mit.upper()), (102, "word " * 200 + apache + " word" * 200), (103, None), (104, ""), (105, "license"), (106, apache), (106, apache), (None, apache), (107, "no news " * 200_000 + "\n" + apache)]
     got = {}
     for r in licences.scan(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, matches int")).collect():
@@ -123,6 +155,83 @@ def test_two_licences_in_one_paragraph(spark, sf):
     assert got == {1000: {"MIT", "Apache-2.0"}, 1001: {"MIT", "Apache-2.0"}, 1002: {"CC-BY-SA-4.0"}, 1003: {"LGPL-3.0"}}
 
 
+def test_scan_against_brute_force():
+    prose = [f"the {w} of some {w} text, number {i} in a row of lines" for i, w in enumerate(["cat", "Hund", "maison", "software", "rights"] * 8)]
+    model = licences.train(prose, rounds=80)
+    r = np.random.default_rng(1)
+    words_ = " ".join(prose + [t for f in licences.FAMILIES for t in licences.TEMPLATES[f]]).split()
+    texts = [None, "", " \n\n", "All rights reserved.", *(t for f in licences.FAMILIES for t in licences.BODIES.get(f, [])), "word " * 70 + "Licensed under the Zlib." + " word" * 70, "by by " * 40]
+    texts += ["\n".join(" ".join(r.choice(words_, int(r.integers(1, 60)))) for _ in range(4)) for _ in range(40)]
+    texts += [licences.BODIES["BSD-2-Clause"][0] + "\n" + licences.BODIES["BSD-3-Clause"][0]]
+
+    def grams(tokens):
+        return {(w,) for w in tokens} | set(zip(tokens, tokens[1:]))
+
+    hashed = lambda g: words.word_hashes(pa.array([" ".join(g)]))[0]
+    templates = {f: [grams(t.encode().lower().split()) for t in licences.TEMPLATES[f]] for f in licences.FAMILIES}
+
+    def brute(text):
+        found = {}
+        for line, paragraph in enumerate((text or "").split("\n")):
+            tokens = paragraph.encode().lower().split()
+            starts = [0] if 0 < len(tokens) <= 32 else range(0, len(tokens) - 32 + 16 if tokens else 0, 16)
+            for start in starts:
+                piece = tokens[start : start + 32]
+                features = [int(h) for h in hashed([w.decode() for w in piece])]
+                own_hashes = np.array(features, np.uint64)
+                features += words.mix64(own_hashes[:-1] * np.uint64(3) + own_hashes[1:]).tolist()
+                z = sum(model.weights[f % licences.BUCKETS] for f in features) / len(features) ** 0.5 + model.bias
+                p = np.exp((z - z.max()) / model.temperature)
+                p /= p.sum()
+                if 1 - p[0] < licences.CERTAIN:
+                    continue
+                own, names = grams(piece), []
+                for k in sorted(range(len(licences.FAMILIES)), key=lambda k: (-p[k + 1], k)):
+                    family = licences.FAMILIES[k]
+                    if p[k + 1] <= p[0]:
+                        break
+                    shared = own & set().union(*templates[family])
+                    alike = max(len(own & t) / min(len(t), len(own) if len(own) >= 16 else 1e9) for t in templates[family])
+                    if alike >= licences.RESEMBLE and all(shared - set().union(*templates[n]) for n in names):
+                        names.append(family)
+                        key = line, family
+                        have = found.get(key, (0, 0))
+                        found[key] = max(have[0], p[k + 1]), max(have[1], alike)
+        if any(f == "BSD-3-Clause" for _, f in found):
+            found = {(n, "BSD-3-Clause" if f == "BSD-2-Clause" else f): v for (n, f), v in sorted(found.items(), key=lambda x: x[1])}
+        return sorted((n, f, round(a, 6), round(b, 6)) for (n, f), (a, b) in found.items())
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    (out,) = licences._scan(model)(iter([batch]))
+    got = [sorted((m["paragraph"], m["family"], round(m["probability"], 6), round(m["resemblance"], 6)) for m in ms) for ms in out.column("matches").to_pylist()]
+    assert got == [brute(t) for t in texts]
+    assert got[3][0][1] == "proprietary" and {f for _, f, *_ in got[-1]} == {"BSD-3-Clause"} and got[-42] == []
+
+
+def test_templates_not_learned_from_are_recognised():
+    """Weights fitted without every fifth template still name most of those, and leave lines they did not learn alone."""
+    prose = [f"line {i} tells of the {w} and {w} things that no one licensed" for i, w in enumerate(["cat", "dog", "tree", "house", "sea"] * 20)]
+    random = np.random.default_rng(2)
+    kept = {f: [t for k, t in enumerate(ts) if k % 5 != 4] for f, ts in licences.TEMPLATES.items()}
+    apart = [(f, t) for f, ts in licences.TEMPLATES.items() for k, t in enumerate(ts) if k % 5 == 4]
+    texts, classes = list(prose[::2]), [0] * 50
+    for k, f in enumerate(licences.FAMILIES):
+        for t in kept[f]:
+            copies = licences._copies(random, ["some", "words"], t)
+            texts, classes = texts + copies, classes + [k + 1] * len(copies)
+    fit = licences._Pieces(texts, np.array(classes)).fitted(np.ones(len(texts), bool), 160)
+    seen = licences._Pieces([t for _, t in apart] + prose[1::2], np.zeros(len(apart) + 50, int)).logits(*fit).argmax(1)
+    assert np.mean([licences.FAMILIES[k - 1] == f for k, (f, _) in zip(seen, apart)]) > 0.85 and (seen[len(apart) :] == 0).mean() > 0.9
+
+
+def test_sampled_pieces_come_from_whole_lines(spark):
+    lines = [" ".join(f"w{i}x{k}" for k in range(200)) for i in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id long, text string")
+    found = licences.unknown_pieces(docs, "text", F.col("doc_id").cast("string"))
+    assert len(found) == 40 and all(len(p.split()) <= licences.PIECE and p in " ".join(lines) for p in found)
+    assert len({int(p.split()[0].split("x")[1]) for p in found}) > 5
+
+
 def test_pieces_cover_every_word():
     lengths = [0, 1, 31, 32, 33, 48, 49, 200]
     offsets = np.r_[0, np.cumsum(lengths)]
