@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -47,3 +49,34 @@ def test_clashing_names(spark):
     df = spark.createDataFrame([(1, "abc", "a", "x", 1)], "doc_id long, text string, lang string, lang_pred string, text_in int")
     out = lg.predict(df, lg.train(df), out=("p", "s"))
     assert out.columns == [*df.columns, "p", "s"] and out.first()["lang_pred"] == "x"
+
+
+def test_predictions_against_brute_force(spark):
+    """Training, cosines and the choice, from the definition, gram by gram."""
+    r = np.random.default_rng(4)
+    alphabets = {"de": "abcdeäöü", "en": "abcdefgh", "el": "αβγδεζ", None: "xyz"}
+    rows = []
+    for i in range(60):
+        lang = list(alphabets)[i % 4]
+        text = " ".join("".join(r.choice(list(alphabets[lang]), int(r.integers(1, 7)))) for _ in range(int(r.integers(0, 12))))
+        rows.append((i, text.title() if i % 3 else text + " 12!", lang))
+    rows += [(None, "Abc", "en"), (60, None, "de"), (61, "...", "de"), (7, rows[7][1], rows[7][2])]
+
+    def vector(text):
+        codes, out = lg.letter_codes(text or ""), np.zeros(lg.DIMENSIONS)
+        for i in range(len(codes) - 2):
+            out += np.prod([np.roll(lg.letter_vector(int(codes[i + k])), 2 - k) for k in range(3)], 0)
+        return out
+
+    held = [zlib.crc32(b"" if d is None else str(d).encode()) % 5 == 0 for d, *_ in rows]
+    names = sorted({lang for (_, _, lang), h in zip(rows, held) if lang and not h}, key=str.encode)
+    prototypes = [sum(vector(t) for (_, t, lang), h in zip(rows, held) if lang == n and not h) for n in names]
+    want = []
+    for (d, text, _), h in zip(rows, held):
+        v = vector(text)
+        scores = [float(v @ p / np.linalg.norm(v) / np.linalg.norm(p)) if v.any() else 0.0 for p in prototypes]
+        best = int(np.argmax(scores))
+        want.append((repr(d), h, names[best] if v.any() else "und", round(max(0.0, scores[best]), 4)))
+    df = spark.createDataFrame([(*x, "s") for x in rows], "doc_id long, text string, lang string, score string").repartition(3)
+    got = [(repr(x["doc_id"]), x["held_out"], x["lang_pred"], round(x["score"], 4)) for x in lg.identify(df).collect()]
+    assert sorted(got) == sorted(want)

@@ -4,9 +4,12 @@ Every letter has a random bipolar vector drawn from its code point. An n-gram's
 vectors after permuting (rotating) each by its place; a text's vector bundles (adds) its n-grams, a language's prototype
 bundles its training texts. A text is given the language whose prototype has the largest cosine.
 
-Bundles are integer sums, so training does not depend on the order of rows. The prototypes are L x dimensions numbers;
-``max_languages`` bounds them. Defined results: a null text or one without a letter is ``und`` with score 0; a training row
-with a null language is skipped; without training rows everything is ``und``; ties go to the first language by code point.
+Bundles are integer sums, so training does not depend on the order of rows. The prototypes are L x dimensions numbers, 32 MB
+for ``max_languages``, which bounds what reaches the driver and the tasks. Defined results: a null text or one without a letter
+is ``und`` with score 0; a training row with a null language is skipped; without training rows everything is ``und``; ties go to
+the first language by code point; rows that repeat each count in training and get one result; a very long text is read whole, in
+blocks that overlap; an empty table gives no row. Other columns pass through ``predict`` unless ``keep`` names what does; a name
+that clashes with an output is the caller's to avoid (``out``); ``identify`` reads no other column.
 """
 
 from __future__ import annotations
@@ -155,11 +158,16 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang", dimensions: i
             yield pa.RecordBatch.from_arrays([pa.array([name] * dimensions), pa.array(np.arange(dimensions, dtype=np.int32)), pa.array(np.rint(vector).astype(np.int64))], names=["lang", "d", "v"])
 
     sums = pairs.mapInArrow(tidied(bundles), "lang string, d int, v long").groupBy("lang", "d").agg(F.sum("v").alias("v"))
-    rows_ = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("d", "v"))).alias("v")).limit(max_languages + 1).collect()
-    if len(rows_) > max_languages:
+    bundles_ = F.transform(F.array_sort(F.collect_list(F.struct("d", "v"))), lambda x: x["v"])
+    found = sums.groupBy("lang").agg(bundles_.alias("v")).limit(max_languages + 1).toArrow()
+    if found.num_rows > max_languages:
         raise ValueError(f"more than {max_languages} languages: raise max_languages, which bounds what is broadcast")
-    rows_.sort(key=lambda r: r["lang"].encode())
-    return [r["lang"] for r in rows_], np.array([[x["v"] for x in r["v"]] for r in rows_], np.float64).reshape(len(rows_), dimensions)
+    names = found["lang"].to_pylist()
+    table = np.zeros((len(names), dimensions))
+    for k, row in enumerate(found["v"].combine_chunks() if names else ()):
+        table[k] = row.values.to_numpy()
+    order = sorted(range(len(names)), key=lambda k: names[k].encode())
+    return [names[k] for k in order], table[order]
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", out: tuple[str, str] = ("lang_pred", "score"), keep: list[str | Column] | None = None, dimensions: int = DIMENSIONS) -> DataFrame:

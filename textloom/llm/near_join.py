@@ -11,7 +11,10 @@
 A pair of similarity exactly 0.8 shares no band with probability (1 - 0.8^4)^32 < 5e-8.
 
 Defined results: null counts as empty; a text without words is alone in its class; fewer than five words are one gram;
-identical rows are copies of each other; a null doc_id takes no part in class_id unless all are null.
+identical rows are copies of each other; a null doc_id takes no part in class_id unless all are null. Ties: a similarity of
+exactly the threshold links, and of rows with the smallest doc_id the first by identity stays. A text of any length is read
+whole. Other columns only take part in the row's identity (``near_join``) or pass through unchanged (``near_dedup``), whatever
+their names. An empty table gives no row.
 """
 
 from __future__ import annotations
