@@ -113,7 +113,7 @@ SELECT doc_id, block_id, group_id, merge, strategy, score AS similarity_score, m
     "model_decisions": """WITH p AS (
   SELECT conv_id AS doc_id, turn AS block_id, text, lag(text) OVER w AS before FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
 ), q AS (
-  SELECT doc_id, block_id, block_id % 4 > 0 AS passes, len(before) % 19 = 0 OR len(text) % 19 = 0 AS failed, len(text) % 11 > 0 AND least(len(before), 1200) % 2 = 1 AS word,
+  SELECT doc_id, block_id, block_id % 4 > 0 AS passes, len(before) % 19 = 0 OR len(text) % 19 = 0 AS failed, least(len(text), 1200) % 11 > 0 AND least(len(before), 1200) % 2 = 1 AS word,
          list_cosine_similarity([(len(before) % 7 + 1)::DOUBLE, (len(before) % 5 + 1)::DOUBLE], [(len(text) % 7 + 1)::DOUBLE, (len(text) % 5 + 1)::DOUBLE]) AS z FROM p WHERE before IS NOT NULL
 ), s AS (SELECT *, CASE WHEN NOT passes THEN 'rule_block' WHEN failed THEN 'llm_fallback' WHEN z >= 0.99 THEN 'similarity_high' WHEN z <= 0.8 THEN 'similarity_low' ELSE 'llm_gray' END AS strategy FROM q)
 SELECT doc_id, block_id, CASE strategy WHEN 'similarity_high' THEN true WHEN 'llm_gray' THEN word WHEN 'llm_fallback' THEN word ELSE false END AS merge, strategy,
