@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,35 +68,42 @@ def split_spans(rows: DataFrame, text: str, options: ChunkOptions = ChunkOptions
     return rows.mapInArrow(run, f"{fields}, `{out}` {SPANS}")
 
 
-def hard_windows(length: Column, most: int) -> Column:
-    """Widths of the windows that cut a text without blanks of this length: arithmetic on what remains.
+def window_widths(length: int, most: int) -> list[int]:
+    """Widths of the windows that cut a text without blanks of this length: arithmetic on what remains."""
+    widths, left = [], length
+    while left > 0:
+        widths.append(next(w for w in kernel.shrinking(min(left, max(32, 6 * most))) if w <= 4 * most or w == 1))
+        left -= widths[-1]
+    return widths
+
+
+def pack_numbers(sizes: Iterable[int], most: int) -> list[int]:
+    """The pack number of every item: a new pack where the running sum would pass ``most``."""
+    packs, pack, held = [], -1, 0
+    for n in sizes:
+        pack, held = (pack, held + n) if pack >= 0 and held + n <= most else (pack + 1, n)
+        packs.append(pack)
+    return packs
+
 
-    A window of six characters a token (32 at least) loses a tenth, rounded up, until it fits; near the end the window is
-    what remains.
-    """
-    width = max(32, 6 * most)
-    shrunk = lambda n: F.aggregate(F.sequence(F.lit(1), F.lit(120)), n, lambda w, _: F.when(w > 4 * most, w - F.ceil(w * 0.1).cast("int")).otherwise(w))
-    windows = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(length / 10).cast("int")))
-    state = F.struct(length.cast("int").alias("left"), F.array().cast("array<int>").alias("out"))
+def hard_windows(length: Column, most: int) -> Column:
+    """``window_widths`` of each row. Arrow: an expression would copy its result at every window."""
 
-    def step(s: Column, _: Column) -> Column:
-        w = shrunk(F.least(s["left"], F.lit(width)))
-        return F.when(s["left"] > 0, F.struct((s["left"] - w).alias("left"), F.concat(s["out"], F.array(w)).alias("out"))).otherwise(s)
+    @F.pandas_udf("array<int>")
+    def widths(lengths: pd.Series) -> pd.Series:
+        return lengths.map(lambda n: window_widths(int(n), most))
 
-    return F.aggregate(windows, state, step, lambda s: s["out"])
+    return widths(length)
 
 
-def pack_groups(sizes: Column, most: Column) -> Column:
-    """The pack number of every item: a new pack where the running sum would pass ``most``."""
-    start = F.struct(F.lit(-1).alias("pack"), F.lit(0).cast("long").alias("sum"), F.array().cast("array<int>").alias("out"))
+def pack_groups(sizes: Column, most: int) -> Column:
+    """``pack_numbers`` of each row's items. Arrow, for the same reason."""
 
-    def step(s: Column, n: Column) -> Column:
-        n = n.cast("long")
-        fits = (s["pack"] >= 0) & (s["sum"] + n <= most)
-        pack = F.when(fits, s["pack"]).otherwise(s["pack"] + 1)
-        return F.struct(pack.alias("pack"), F.when(fits, s["sum"] + n).otherwise(n).alias("sum"), F.concat(s["out"], F.array(pack)).alias("out"))
+    @F.pandas_udf("array<int>")
+    def packs(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda row: pack_numbers(map(int, row), most))
 
-    return F.aggregate(sizes, start, step, lambda s: s["out"])
+    return packs(sizes)
 
 
 def overlap_chars(text: Column, options: ChunkOptions) -> Column:

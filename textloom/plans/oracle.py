@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+#: The separators and budgets that both sides must share.
 SEPARATORS = ["\n\n", "\n", "\t", "。", "！", "？", ". ", "! ", "? ", "；", "; ", "，", ", ", " ", "-", "_"]
 MAX_TOKENS, MIN_TOKENS = 450, 100
 US = "chr(31)"
@@ -240,6 +241,7 @@ DECISIONS = """pairs AS (
          CASE WHEN passes THEN round(score, 4) END AS similarity_score
   FROM pairs
 )"""
+#: The file types of the made-up files.
 SUFFIXES = [".pdf", ".doc", ".docx", ".txt", ".md", ".xls", ".xlsx", ".png", ".jpg", ".jpeg", ".webp", ".bmp", ".tif", ".tiff", ".csv", ".html", ".PDF"]
 FILES = f"files AS (SELECT doc_id, lower([{', '.join(repr(s) for s in SUFFIXES)}][doc_id % {len(SUFFIXES)} + 1]) AS suffix, n_chars * 1000 AS length FROM documents)"
 IMAGES = "('.png', '.jpg', '.jpeg', '.webp', '.bmp', '.tif', '.tiff')"
@@ -318,8 +320,8 @@ SELECT doc_id, page_no, block_no, x0, y0, x1, y1, 'pdf_image_region_heuristic' F
     "repeated_noise": rf"""WITH {lines('documents', "''")}, c AS (
   SELECT *, CASE WHEN trim(raw) <> '' AND len(trim(raw)) <= 100 THEN count(*) OVER (PARTITION BY doc_id, trim(raw)) ELSE 0 END AS n FROM lines
 ) SELECT doc_id, line_no, md5(raw) AS text_hash FROM c WHERE n < 2 AND NOT regexp_matches(trim(raw), '(?i)^(?:page\s*\d+|第\s*\d+\s*页|\d+\s*/\s*\d+)$')""",
-    "sheet_nodes": """WITH r AS (SELECT c_nationkey, string_agg(c_custkey || ' | ' || trim(c_name) || ' | ' || c_nationkey || ' | ' || trim(c_mktsegment), chr(10) ORDER BY c_custkey) AS t FROM customer GROUP BY c_nationkey)
-SELECT 'nation ' || c_nationkey AS sheet_name, md5(t) AS text_hash, len(t) AS n_chars FROM r""",
+    "sheet_nodes": """WITH r AS (SELECT c_nationkey, c_custkey // 1000 AS part, string_agg(c_custkey || ' | ' || trim(c_name) || ' | ' || c_nationkey || ' | ' || trim(c_mktsegment), chr(10) ORDER BY c_custkey) AS t FROM customer GROUP BY ALL)
+SELECT 'nation ' || c_nationkey || ' part ' || part AS sheet_name, md5(t) AS text_hash, len(t) AS n_chars FROM r""",
     "legacy_sheet_rows": "SELECT p_partkey, floor(p_retailprice)::BIGINT || ' | ' || trim(p_name) || ' | ' || p_size AS row FROM part",
     "model_json_nodes": """SELECT item_id, 0 AS node_pos, CASE item_id % 3 WHEN 0 THEN 'title' WHEN 1 THEN 'paragraph' ELSE 'list' END AS node_type,
   greatest(item_id % 4 - 1, 0) AS level, md5(trim(text, ' ' || chr(10))) AS text_hash FROM benchmark""",

@@ -192,7 +192,7 @@ def hard_split(spark, folder):
 @query
 def node_pack(spark, folder):
     sizes = F.transform(F.split("text", "\n"), lambda x: tx.token_count(x))
-    packs = split.pack_groups(sizes, F.lit(ChunkOptions().max_tokens))
+    packs = split.pack_groups(sizes, ChunkOptions().max_tokens)
     rows = table(spark, folder, "documents").select("doc_id", F.posexplode(packs).alias("line_no", "pack"))
     return rows.select("doc_id", long("line_no").alias("line_no"), long("pack").alias("pack"))
 
@@ -362,9 +362,12 @@ def repeated_noise(spark, folder):
 def sheet_nodes(spark, folder):
     n = table(spark, folder, "customer")
     row = office.rendered_row([F.col(c) for c in ("c_custkey", "c_name", "c_nationkey", "c_mktsegment")])
-    rows = n.select("c_nationkey", F.col("c_custkey").alias("k"), row.alias("row"))
+    # a sheet holds the customers of a nation among a thousand numbers, so sheets do not grow with the table
+    part = F.floor(F.col("c_custkey") / 1000)
+    rows = n.select("c_nationkey", part.alias("part"), F.col("c_custkey").alias("k"), row.alias("row"))
     body = lines.ordered_text(F.col("row"), F.col("k"), "\n")
-    return rows.groupBy("c_nationkey").agg(body.alias("t")).select(F.concat(F.lit("nation "), F.col("c_nationkey").cast("string")).alias("sheet_name"), F.md5("t").alias("text_hash"), long(F.length("t")).alias("n_chars"))
+    name = F.concat_ws(" ", F.lit("nation"), F.col("c_nationkey").cast("string"), F.lit("part"), F.col("part").cast("string"))
+    return rows.groupBy("c_nationkey", "part").agg(body.alias("t")).select(name.alias("sheet_name"), F.md5("t").alias("text_hash"), long(F.length("t")).alias("n_chars"))
 
 
 @query

@@ -6,10 +6,12 @@ plain range count over all hits would refuse too many.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -20,28 +22,41 @@ def exempt(path: Column, limit: RateLimit = RateLimit()) -> Column:
     return path.isin(*limit.exempt_paths)
 
 
+class SlidingLog:
+    """The times of the allowed hits within the window, at most as many as are allowed."""
+
+    def __init__(self, limit: RateLimit, log: list[int] | tuple[int, ...] = ()) -> None:
+        self.span, self.hits, self.log = limit.seconds * 1_000_000, limit.hits, deque(log)
+
+    def allows(self, now: int) -> bool:
+        while self.log and now - self.log[0] > self.span:
+            self.log.popleft()
+        if len(self.log) >= self.hits:
+            return False
+        self.log.append(now)
+        return True
+
+
 def limited(events: DataFrame, key: str, ts: str, limit: RateLimit = RateLimit()) -> DataFrame:
     """key, micros, allowed for every event.
 
-    A gap longer than the window empties the log, so a key's events are cut into sessions there and each is folded on its
-    own: the arrays that a task holds follow the busiest session, not the busiest key.
+    One exchange on the key; its hits pass a task in their order, and all that is kept of them is the log. Whether a hit is
+    allowed depends on all earlier ones of its key, so one key's hits are not dealt out further, but they are never held.
     """
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    order = Window.partitionBy("key").orderBy("micros")
-    rows = events.select(F.col(key).alias("key"), micros.alias("micros"))
-    new = F.coalesce(F.col("micros") - F.lag("micros").over(order) > limit.seconds * 1_000_000, F.lit(True))
-    rows = rows.withColumn("new", new.cast("long")).withColumn("session", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    sessions = rows.groupBy("key", "session").agg(F.array_sort(F.collect_list("micros")).alias("hits"))
-    span = limit.seconds * 1_000_000
+    rows = events.select(F.col(key).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("micros"))
+    kind = rows.schema["key"].dataType.simpleString()
 
-    def step(s: Column, now: Column) -> Column:
-        log = F.filter(s["log"], lambda hit: now - hit <= span)
-        ok = F.size(log) < limit.hits
-        kept = F.when(ok, F.concat(log, F.array(now))).otherwise(log)
-        return F.struct(kept.alias("log"), F.concat(s["out"], F.array(F.struct(now.alias("micros"), ok.alias("allowed")))).alias("out"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, log = None, SlidingLog(limit)
+        for batch in batches:
+            allowed = []
+            for own, now in zip(batch.column("key").to_pylist(), batch.column("micros").to_pylist()):
+                if own != last:
+                    last, log = own, SlidingLog(limit)
+                allowed.append(log.allows(now))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(allowed, pa.bool_())], names=["key", "micros", "allowed"])
 
-    start = F.struct(F.array().cast("array<bigint>").alias("log"), F.array().cast("array<struct<micros:bigint,allowed:boolean>>").alias("out"))
-    return sessions.select("key", F.inline(F.aggregate("hits", start, step, lambda s: s["out"])))
+    return rows.repartition("key").sortWithinPartitions("key", "micros").mapInArrow(run, f"key {kind}, micros long, allowed boolean")
 
 
 def limited_stream(events: DataFrame, key: str, ts: str, limit: RateLimit = RateLimit()) -> DataFrame:
@@ -49,22 +64,16 @@ def limited_stream(events: DataFrame, key: str, ts: str, limit: RateLimit = Rate
 
     The state of a key is its log, at most ``hits`` times; it is dropped when no hit comes for a window of processing time.
     """
-    span = limit.seconds * 1_000_000
     rows = events.select(F.col(key).cast("string").alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("micros"))
 
     def fold(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        log = list(state.get[0]) if state.exists else []
+        log = SlidingLog(limit, state.get[0] if state.exists else ())
         times = sorted(int(t) for part in parts for t in part["micros"])
-        allowed = []
-        for now in times:
-            log = [hit for hit in log if now - hit <= span]
-            allowed.append(len(log) < limit.hits)
-            if allowed[-1]:
-                log.append(now)
-        state.update((log,))
+        allowed = [log.allows(now) for now in times]
+        state.update((list(log.log),))
         state.setTimeoutDuration(limit.seconds * 1000)
         yield pd.DataFrame({"key": [k[0]] * len(times), "micros": times, "allowed": allowed})
 
