@@ -65,6 +65,31 @@ def test_against_brute_force(spark, tiles):
     assert got(spark, rows, **tiles) == brute(rows)
 
 
+@pytest.mark.parametrize("sparse", [0, 1, 50])
+def test_named_pairs_and_dense_groups_agree(spark, monkeypatch, sparse):
+    """Whether pairs are named or make a dense group, every link is counted once."""
+    monkeypatch.setattr(nj, "SPARSE", sparse)
+    monkeypatch.setattr(nj, "PARTNERS", 3)
+    rows = [*copies(9, 6, 120), (300, "A b"), (301, "a B")]
+    assert got(spark, rows, bucket_tile=6, group_tile=5) == brute(rows)
+
+
+def test_a_chain_of_unlike_texts_is_no_group(spark, monkeypatch):
+    """Texts that each share most words with the next one: only neighbours are compared, however long the chain."""
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(i, " ".join(words[i * 24 : i * 24 + 120])) for i in range(100)]
+    seen, kept = {}, nj.lone_pairs
+
+    def pairs(near, groups):
+        seen["pairs"], seen["dense"] = kept(near, groups).count(), groups.count()
+        return kept(near, groups)
+
+    monkeypatch.setattr(nj, "lone_pairs", pairs)
+    monkeypatch.setattr(nj, "TOLERANCE", 1e-30)
+    assert got(spark, rows, tolerance=1e-30) == brute(rows)
+    assert 90 <= seen["pairs"] <= 400 and seen["dense"] == 0
+
+
 def test_one_large_group_of_near_copies(spark):
     r = random.Random(2)
     base = [f"w{i}" for i in range(120)]

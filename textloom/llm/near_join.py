@@ -4,9 +4,12 @@
    the same set become one node with a multiplicity, so copies are never paired with each other.
 2. Nodes that agree in one of 32 bands of 4 values meet in a bucket. Buckets with the same members are read once. Inside a
    bucket values are compared 16 at a time and a pair is dropped as soon as the posterior probability that its similarity
-   reaches the threshold falls below ``tolerance``; the rest name the groups within which all is verified.
-3. Within each group the exact similarity of every pair is computed from whole texts. Counts and spanning links leave the
-   task, never the pairs. Buckets and groups above a tile's size are dealt out over tiles of block pairs.
+   reaches the threshold falls below ``tolerance``. Where few pairs survive (at most ``SPARSE`` a member) they are named one by
+   one, each by the first band its two nodes share; where many do, spanning links name a dense group instead.
+3. The exact similarity of the surviving pairs is computed from whole texts: pairs outside dense groups around the smaller of
+   their two nodes, those within a dense group in blocks, in which the values prune again. Counts and spanning links leave the
+   task, never the pairs of a dense group. Buckets and groups above a tile's size are dealt out over tiles of block pairs, and
+   a node with many partners over parts of ``PARTNERS``. Unlike texts that only hang together by a chain are no group.
 
 A pair of similarity exactly 0.8 shares no band with probability (1 - 0.8^4)^32 < 5e-8.
 
@@ -35,7 +38,9 @@ from .words import SHINGLE, gram_hashes, mix64, word_hashes
 THRESHOLD = 0.8
 HASHES, BAND, STEP = 128, 4, 16
 TOLERANCE = 1e-9
-BUCKET_TILE, GROUP_TILE = 2048, 512
+BUCKET_TILE, GROUP_TILE = 1024, 512
+#: Surviving pairs a member up to which a bucket's pairs are named, and partners of a node that one task compares.
+SPARSE, PARTNERS = 2, 256
 _SEEDS = mix64(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FLIP = (_SEEDS[:HASHES] >> np.uint64(32)).astype(np.uint32)[:, None]
 _TIMES = ((_SEEDS[HASHES:] >> np.uint64(32)).astype(np.uint32) | np.uint32(1))[:, None]
@@ -143,10 +148,45 @@ def _survivors(sig: np.ndarray, i: int, others: np.ndarray, least: list[int]) ->
     return others
 
 
-def _pruned_groups(least: list[int]):
+def _shared_band(sig: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The first band in which the nodes of each pair agree."""
+    bands = np.ascontiguousarray(sig).view("<u8")
+    return (bands[i] == bands[j]).argmax(1)
+
+
+def _tile_survivors(sig: np.ndarray, left: np.ndarray, right: np.ndarray | None, least: list[int], most: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """The surviving pairs of a tile, or None as soon as there are more than ``most``."""
+    i, j, held = [], [], 0
+    for place, k in enumerate(left):
+        found = _survivors(sig, int(k), left[place + 1 :] if right is None else right, least)
+        held += len(found)
+        if held > most:
+            return None
+        i.append(np.full(len(found), k))
+        j.append(found)
+    return np.concatenate(i), np.concatenate(j)
+
+
+def _tile_links(sig: np.ndarray, left: np.ndarray, right: np.ndarray | None, least: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Links that hold together whatever the surviving pairs of a tile do; nodes already together are not compared."""
+    labels = joined_labels(len(sig))
+    for place, i in enumerate(left):
+        others = left[place + 1 :] if right is None else right
+        others = others[labels[others] != labels[i]]
+        if len(others):
+            found = _survivors(sig, int(i), others, least)
+            if len(found):
+                unite(labels, int(i), found)
+    moved = np.flatnonzero(labels != np.arange(len(sig)))
+    return moved, labels[moved]
+
+
+def _pruned(least: list[int]):
+    """(a, b, dense): surviving pairs, or links of a dense group."""
+
     def run(batches):
         for rows, at in runs(batches, ["bucket", "tile"]):
-            nid, block = rows.column("nid").to_numpy(), rows.column("block").to_numpy()
+            nid, block, band = (rows.column(c).to_numpy() for c in ("nid", "block", "band"))
             tile, blocks = rows.column("tile").to_numpy(), rows.column("blocks").to_numpy()
             sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), "<u2").reshape(-1, HASHES)
             size = np.diff(at)
@@ -157,22 +197,63 @@ def _pruned_groups(least: list[int]):
                 cut = slice(k * STEP, (k + 1) * STEP)
                 matches += (sig[two, cut] == sig[two + 1, cut]).sum(1)
                 keep &= matches >= need
-            a, b = [nid[two[keep]]], [nid[two[keep] + 1]]
+            keep &= (tile[two] // blocks[two] == tile[two] % blocks[two]) | (block[two] != block[two + 1])
+            keep[keep] = _shared_band(sig, two[keep], two[keep] + 1) == band[two[keep]]
+            a, b, dense = [nid[two[keep]]], [nid[two[keep] + 1]], [np.zeros(int(keep.sum()), bool)]
             for start, n in zip(at[:-1][size > 2], size[size > 2]):
-                own = sig[start : start + n]
-                left, right = tile_sides(int(tile[start]), int(blocks[start]), block[start : start + n])
-                labels = joined_labels(n)
-                for place, i in enumerate(left):
-                    others = left[place + 1 :] if right is None else right
-                    others = others[labels[others] != labels[i]]
-                    if len(others):
-                        found = _survivors(own, int(i), others, least)
-                        if len(found):
-                            unite(labels, int(i), found)
-                moved = np.flatnonzero(labels != np.arange(n))
-                a.append(nid[start + moved])
-                b.append(nid[start + labels[moved]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+                own, name = sig[start : start + n], nid[start : start + n]
+                sides = tile_sides(int(tile[start]), int(blocks[start]), block[start : start + n])
+                pairs = _tile_survivors(own, *sides, least, SPARSE * int(n)) if len(sides[0]) else None
+                if pairs is None:
+                    i, j = _tile_links(own, *sides, least)
+                else:
+                    first = _shared_band(own, *pairs) == band[start]
+                    i, j = pairs[0][first], pairs[1][first]
+                a.append(name[i])
+                b.append(name[j])
+                dense.append(np.full(len(i), pairs is None))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (a, b, dense)], names=["a", "b", "dense"])
+
+    return run
+
+
+def _alive(left: np.ndarray, right: np.ndarray, least: list[int]) -> np.ndarray:
+    """Which pairs of two blocks of values survive."""
+    matches, alive = np.zeros((len(left), len(right)), np.int16), np.ones((len(left), len(right)), bool)
+    for k, need in enumerate(least):
+        for c in range(k * STEP, (k + 1) * STEP):
+            matches += left[:, c, None] == right[None, :, c]
+        alive &= matches >= need
+        if not alive.any():
+            break
+    return alive
+
+
+def _compared_pairs(threshold: float):
+    """(nid, links, other) of the pairs of a hub, the node whose row comes first, and its partners."""
+
+    def run(batches):
+        for rows, at in runs(batches, ["hub", "part"]):
+            nid, hub, mult = (rows.column(c).to_numpy() for c in ("nid", "hub", "mult"))
+            text = rows.column("text").combine_chunks()
+            text = text.chunk(0) if isinstance(text, pa.ChunkedArray) else text
+            out: list[tuple[int, int, int]] = []
+            for start, end in zip(at[:-1], at[1:]):
+                words, offsets = word_hashes(text.slice(start, end - start))
+                sets = [gram_set(words[offsets[k] : offsets[k + 1]]) for k in range(end - start)]
+                centre = int(np.flatnonzero(nid[start:end] == hub[start])[0])
+                total = 0
+                for k in range(end - start):
+                    if k == centre:
+                        continue
+                    both = len(np.intersect1d(sets[centre], sets[k], assume_unique=True))
+                    if both / (len(sets[centre]) + len(sets[k]) - both) >= threshold:
+                        out.append((nid[start + k], mult[start + centre], hub[start]))
+                        total += int(mult[start + k])
+                if total:
+                    out.append((hub[start], total, hub[start]))
+            columns = list(zip(*out)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["nid", "links", "other"])
 
     return run
 
@@ -207,11 +288,12 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return out
 
 
-def _verified(threshold: float):
+def _verified(threshold: float, least: list[int]):
     def run(batches):
         for rows, at in runs(batches, ["root", "tile"]):
             nid, mult, block = (rows.column(c).to_numpy() for c in ("nid", "mult", "block"))
             tile, blocks = rows.column("tile").to_numpy(), rows.column("blocks").to_numpy()
+            sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), "<u2").reshape(-1, HASHES)
             text = rows.column("text").combine_chunks()
             text = text.chunk(0) if isinstance(text, pa.ChunkedArray) else text
             out: list[list[np.ndarray]] = [[], [], []]
@@ -220,11 +302,16 @@ def _verified(threshold: float):
                 sets = [gram_set(words[offsets[k] : offsets[k + 1]]) for k in range(end - start)]
                 sizes = np.array([len(s) for s in sets])
                 left, right = tile_sides(int(tile[start]), int(blocks[start]), block[start:end])
-                one = [sets[i] for i in left]
-                other, side = (one, left) if right is None else ([sets[i] for i in right], right)
+                side = left if right is None else right
+                alive = _alive(sig[start + left], sig[start + side], least)
+                some, others = np.flatnonzero(alive.any(1)), np.flatnonzero(alive.any(0))
+                one = [sets[i] for i in left[some]]
+                other = one if right is None and np.array_equal(some, others) else [sets[i] for i in side[others]]
                 shared = intersections(one, other).astype(np.float64)
-                union = sizes[left][:, None] + sizes[side][None, :] - shared
-                linked = shared / np.where(union == 0, 1, union) >= threshold
+                union = sizes[left[some]][:, None] + sizes[side[others]][None, :] - shared
+                linked = np.zeros(alive.shape, bool)
+                linked[np.ix_(some, others)] = shared / np.where(union == 0, 1, union) >= threshold
+                linked &= alive
                 if right is None:
                     np.fill_diagonal(linked, False)
                 labels = joined_labels(end - start)
@@ -266,7 +353,42 @@ def _banded(batches):
     for batch in batches:
         sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u8").reshape(-1, bands)
         keys = mix64(sig + salt).view(np.int64).ravel()
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("nid").to_numpy(), bands)), pa.array(keys)], names=["nid", "bucket"])
+        numbers = np.tile(np.arange(bands, dtype=np.int32), batch.num_rows)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("nid").to_numpy(), bands)), pa.array(keys), pa.array(numbers)], names=["nid", "bucket", "band"])
+
+
+def lone_pairs(near: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs (a, b), the smaller first, that no dense group holds both nodes of."""
+    every = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
+    pairs = near.where("NOT dense").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    placed = pairs.join(every.select(F.col("node").alias("a"), F.col("root").alias("p")), "a", "left").join(every.select(F.col("node").alias("b"), F.col("root").alias("q")), "b", "left")
+    return placed.where("p IS NULL OR q IS NULL OR p <> q").select("a", "b")
+
+
+def _with_text(rows: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (nid, ...) with the multiplicity, the values and one text of each node."""
+    named = wanted.join(nodes.select("nid", "mult", "sig", F.col("first.ident").alias("ident")), "nid")
+    texts = rows.select("ident", "text").join(named.select("ident").distinct(), "ident", "left_semi").dropDuplicates(["ident"])
+    return named.join(texts, "ident")
+
+
+def _sparse_links(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """(nid, links, other) of single pairs, compared around their smaller node, in parts where it has many partners."""
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"))
+    partners = pairs.join(parts, "a").select(F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("nid"))
+    hubs = parts.select(F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("nid"))
+    whole = _with_text(rows, nodes, partners.unionByName(hubs)).select("hub", "part", "nid", "mult", "text")
+    whole = whole.repartition(partitions(rows.sparkSession), "hub", "part").sortWithinPartitions("hub", "part")
+    return whole.mapInArrow(tidied(_compared_pairs(threshold)), "nid long, links long, other long")
+
+
+def _dense_links(rows: DataFrame, nodes: DataFrame, groups: DataFrame, threshold: float, least: list[int], tile: int) -> DataFrame:
+    """(nid, links, other) of the pairs within dense groups, in blocks."""
+    members = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
+    sizes = groups.groupBy("root").agg((F.count("*") + 1).alias("n"))
+    members = members.join(sizes, "root").withColumnRenamed("node", "nid")
+    whole = tiled(_with_text(rows, nodes, members), "root", "nid", "n", tile).select("root", "tile", "nid", "mult", "sig", "blocks", "block", "text")
+    return dealt(whole, "root").mapInArrow(tidied(_verified(threshold, least)), "nid long, links long, other long")
 
 
 def near_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE, bucket_tile: int = BUCKET_TILE, group_tile: int = GROUP_TILE) -> DataFrame:
@@ -279,20 +401,18 @@ def near_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thres
         first = F.min(_order())
         nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("mult"), first.alias("first"), F.first("sig").alias("sig"))
         nodes = scratch.table(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
-        # 2: buckets, the same members once
-        bands = nodes.select("nid", "sig").mapInArrow(tidied(_banded), "nid long, bucket long")
-        buckets = bands.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("nid")).alias("x"), F.bit_xor(F.xxhash64("nid", F.lit(1))).alias("y")).where("n > 1")
-        buckets = buckets.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
-        met = tiled(bands.join(buckets, "bucket"), "bucket", "nid", "n", bucket_tile).join(nodes.select("nid", "sig"), "nid")
-        near = dealt(met.select("bucket", "tile", "nid", "blocks", "block", "sig"), "bucket").mapInArrow(tidied(_pruned_groups(least_matches(threshold, tolerance))), "a long, b long")
-        groups = components(scratch, near, "near")
-        # 3: exact similarity within each group
-        members = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
-        sizes = groups.groupBy("root").agg((F.count("*") + 1).alias("n"))
-        members = members.join(sizes, "root").withColumnRenamed("node", "nid").join(nodes.select("nid", "mult", F.col("first.ident").alias("ident")), "nid")
-        whole = rows.select("ident", "text").join(members, "ident").dropDuplicates(["ident"])
-        whole = tiled(whole, "root", "nid", "n", group_tile).select("root", "tile", "nid", "mult", "blocks", "block", "text")
-        found = scratch.table(dealt(whole, "root").mapInArrow(tidied(_verified(threshold)), "nid long, links long, other long"), "links")
+        # 2: buckets, the same members once, under the first of their bands
+        least = least_matches(threshold, tolerance)
+        bands = nodes.select("nid", "sig").mapInArrow(tidied(_banded), "nid long, bucket long, band int")
+        members = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("nid")).alias("x"), F.bit_xor(F.xxhash64("nid", F.lit(1))).alias("y"), F.min("band").alias("band")]
+        buckets = bands.groupBy("bucket").agg(*members).where("n > 1")
+        buckets = buckets.groupBy("n", "x", "y").agg(F.min(F.struct("band", "bucket")).alias("first")).select("first.bucket", "n", "first.band")
+        met = tiled(bands.drop("band").join(buckets, "bucket"), "bucket", "nid", "n", bucket_tile).join(nodes.select("nid", "sig"), "nid")
+        met = dealt(met.select("bucket", "tile", "nid", "band", "blocks", "block", "sig"), "bucket")
+        near = scratch.table(met.mapInArrow(tidied(_pruned(least)), "a long, b long, dense boolean"), "near")
+        groups = components(scratch, near.where("dense").select("a", "b"), "near")
+        # 3: exact similarity of the pairs
+        found = scratch.table(_sparse_links(rows, nodes, lone_pairs(near, groups), threshold).unionByName(_dense_links(rows, nodes, groups, threshold, least, group_tile)), "links")
         classes = components(scratch, found.select(F.col("nid").alias("a"), F.col("other").alias("b")), "classes")
         # back to documents
         links = found.groupBy("nid").agg(F.sum("links").alias("links"))
