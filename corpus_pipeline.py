@@ -2,9 +2,9 @@
 
 Every stage works on all that its predecessor kept, and all but the last return the columns of documents:
 
-1. language  documents without a letter (``und``) go, and those whose closest language has a cosine below LEAST_COSINE, which
-             look like no language that was learned; hyperdimensional profiles. Where no row names a language nothing can be
-             learned, and all documents with a letter stay.
+1. language  documents without a letter (``und``) go, and those of at least LEAST_LETTERS letters whose closest language has a
+             cosine below LEAST_COSINE, which look like no language that was learned; hyperdimensional profiles. Where no row
+             names a language nothing can be learned, and all documents with a letter stay.
 2. exact     of equal texts the one with the largest doc_id stays; Grace hash.
 3. near      of each class of near copies (Jaccard of word 5-grams >= 0.8) the one with the smallest doc_id stays.
 4. mix       sources take turns at weights 1, 2, 3; documents of a source above its size come up to three times, the one at
@@ -28,9 +28,9 @@ from textloom.llm import exact_dedup, language, mixing, near_join, packing
 from textloom.llm.runtime import column, delete, free_name, shared_folder
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
-#: At sf0.1 the smallest cosine of the 1960 labelled documents that were not learned from is 0.073, a text of two letters; the cosine
-#: with a language that shares no n-gram is about 0.03 (one by the root of the dimensions).
-LEAST_COSINE = 0.05
+#: The cosine with a language that shares no n-gram is about 0.03, one by the root of the dimensions. Of the 9873 documents of
+#: sf0.1 with at least so many letters none is below 0.112; shorter texts say too little.
+LEAST_COSINE, LEAST_LETTERS = 0.08, 40
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = language.train(docs.where(~language.held_out(F.col("doc_id"), 5, 0)))
     if not model[0]:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    kept = (F.col(found[0]) != language.UNKNOWN) & (F.col(found[1]) >= LEAST_COSINE)
+    short = F.length(F.regexp_replace("text", r"\P{L}+", "")) < LEAST_LETTERS
+    kept = (F.col(found[0]) != language.UNKNOWN) & ((F.col(found[1]) >= LEAST_COSINE) | short)
     return language.predict(docs, model, out=found).where(kept).select(*map(column, names))
 
 
