@@ -57,6 +57,45 @@ def test_recall_of_the_forest(spark, dense):
     assert all(x["n_links"] <= len(links[x["vec_id"]]) for x in got)
 
 
+def test_leaves_are_split_again_until_they_are_small(spark, monkeypatch):
+    """With a small sample for the first trees, leaves of any number of nodes come down to the tile, and recall holds."""
+    r = np.random.default_rng(6)
+    base = r.standard_normal((1500, 24))
+    twins = base[:500] + r.standard_normal((500, 24)) * 0.2
+    every = np.concatenate([base, twins])
+    rows = [(i, [float(x) for x in v], 0) for i, v in enumerate(every)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    monkeypatch.setattr(vf, "SAMPLE_BYTES", 64 * 24 * 8)
+    monkeypatch.setattr(vf, "LEAF_SAMPLE", 200)
+    fit = vf.fit
+    monkeypatch.setattr(vf, "fit", lambda nodes, trees, leaf, spill: fit(nodes, trees, leaf, spill, vf.SAMPLE_BYTES))
+    sizes, refined = [], vf.refined
+
+    def kept(scratch, routed, *rest):
+        out = scratch.table(refined(scratch, routed, *rest), "kept")
+        for x in (routed, out):
+            sizes.append([n for (n,) in x.groupBy("leaf").count().select("count").collect()])
+        return out
+
+    monkeypatch.setattr(vf, "refined", kept)
+    unit = every.astype(np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    total = int((unit @ unit.T >= 0.93).sum()) - len(unit)
+    found = sum(x["n_links"] for x in vf.near_vectors(df, leaf=64, tile=128).collect())
+    assert total > 600 and 0.97 * total <= found <= total
+    assert max(sizes[0]) > 600 and max(sizes[1]) <= 128
+
+
+def test_hot_leaves_are_routed_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(vf, "ROUTED", 50)
+    r = np.random.default_rng(7)
+    base = r.standard_normal((150, 16))
+    rows = [(i, [float(x) for x in base[i % 150] + r.standard_normal(16) * 0.1], 0) for i in range(600)]
+    links = brute(rows)
+    found = {x["vec_id"]: x["n_links"] for x in vf.near_vectors(spark.createDataFrame(rows, SCHEMA), leaf=32, tile=60, trees=8).collect()}
+    assert sum(found.values()) >= 0.97 * sum(map(len, links)) and all(n <= len(links[i]) for i, n in found.items())
+
+
 def test_empty_table_and_clashing_names(spark):
     assert vf.near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
     df = spark.createDataFrame([(1, [1.0, 0.0], 1, 5, "x")], SCHEMA + ", nid int, node string")
