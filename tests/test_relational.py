@@ -143,6 +143,17 @@ def test_touching_boxes_do_not_overlap(spark):
     assert sorted(r["text"] for r in layout.without_overlap(b, t).collect()) == ["other page", "touch"]
 
 
+def test_image_regions_of_one_number_keep_their_order(spark):
+    boxes = [(1, 9.0, 900.0, 99.0, 990.0), (5, 0.0, 0.0, 90.0, 80.0), (5, 0.0, 0.0, 80.0, 90.0), (5, 0.0, 0.0, 90.0, 90.0), (5, 50.0, 0.0, 99.0, 90.0), (5, 0.0, 50.0, 60.0, 99.0), (7, 0.0, 0.0, 50.0, 50.0)]
+    rows = [(1, page, *box, "", 1, 100.0, 1000.0) for page in (1, 2) for box in boxes]
+    none = spark.createDataFrame([], BLOCK)
+    for given in (rows, rows[::-1], rows[1::2] + rows[::2]):
+        blocks = spark.createDataFrame(given, f"{BLOCK}, block_type int, page_width double, page_height double").coalesce(1)
+        got = layout.image_regions(blocks, none).orderBy("page_no", "order").collect()
+        assert [(r["page_no"], r["order"], r["x0"], r["y0"], r["x1"], r["y1"]) for r in got] == [(page, i, *box[1:]) for page in (1, 2) for i, box in enumerate(boxes)]
+        assert {r["strategy"] for r in got} == {"pdf_image_region"}
+
+
 def merged_texts(spark, *nodes):
     schema = "doc_id long, page_no int, place long, node_type string, role string, x0 double, y0 double, x1 double, y1 double, text string"
     rows = [(1, 1, i, "paragraph", role, x0, y0, x1, y1, text) for i, (x0, y0, x1, y1, text, role) in enumerate(nodes)]

@@ -116,10 +116,11 @@ def area_share() -> Column:
 def image_regions(blocks: DataFrame, tables: DataFrame) -> DataFrame:
     """doc_id, page_no, order, box, strategy: image blocks of at least 1% of the page that are on no table.
 
+    Their order counts from 0 by block_no; blocks with one number go from the top, then from the left, then the smaller first.
     Where a page has none, its blank or ``<image:`` blocks of at least 3%; their order is the block's number.
     """
     typed = without_overlap(blocks.where((F.col("block_type") == 1) & (area_share() >= LEAST_IMAGE)), tables)
-    order = F.row_number().over(Window.partitionBy(*PAGE).orderBy("block_no")) - 1
+    order = F.row_number().over(Window.partitionBy(*PAGE).orderBy("block_no", "y0", "x0", "y1", "x1")) - 1
     typed = typed.select(*PAGE, order.cast("long").alias("order"), *BOX, F.lit("pdf_image_region").alias("strategy"))
     bare = F.lower(strip(F.coalesce("text", F.lit(""))))
     guess = blocks.where(((bare == "") | bare.startswith("<image:")) & (area_share() >= LEAST_BLANK_IMAGE))
